@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, packing, secrets, simhash, toxicity
+from . import decontaminate, exact_dedup, language_id, licenses, packing, pii, secrets, simhash, toxicity
 from .common import table
 
 
@@ -35,6 +35,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a tree of files: source / ten thousands / hundreds / document; round numbers are the licence files."""
+    docs = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    folder = F.when(k % 10000 == 0, F.array(F.floor(k / 10000).cast("string"))).otherwise(
+        F.array(F.floor(k / 10000).cast("string"), F.floor(k / 100).cast("string"))
+    )
+    name = F.when(k % 100 == 0, F.concat(F.lit("LICENSE-"), k.cast("string"))).otherwise(F.concat(k.cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), folder, name)
+    return licenses.find_licenses(docs.select(path.alias("path"), "text"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -52,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_packing, op4_exact_dedup, op8_secrets, op9_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_packing, op4_exact_dedup, op6_personal_data, op7_licenses, op8_secrets, op9_simhash, op10_language_id)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -84,5 +100,42 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+
+OP7_SQL = rf"""
+WITH f AS (SELECT concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 10000 AS VARCHAR),
+                            CASE WHEN doc_id % 10000 <> 0 THEN CAST(doc_id // 100 AS VARCHAR) END,
+                            CASE WHEN doc_id % 100 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path,
+                  coalesce(text, '') AS t FROM documents),
+     tpl(name, t) AS (VALUES {_TEMPLATES}),
+     terms AS (SELECT name, token, count(*) AS tf FROM (SELECT name, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS token FROM tpl)
+               GROUP BY ALL),
+     n AS (SELECT count(*) AS n FROM f),
+     df AS (SELECT token, count(*) AS c FROM (SELECT DISTINCT path, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS token FROM f)
+            WHERE token IN (SELECT token FROM terms) GROUP BY token),
+     idf AS (SELECT DISTINCT token, ln((1.0 + n) / (1.0 + coalesce(c, 0))) + 1.0 AS idf FROM terms LEFT JOIN df USING (token), n),
+     w AS (SELECT name, token, tf * idf AS w FROM terms JOIN idf USING (token)),
+     norm AS (SELECT name, sqrt(sum(w * w)) AS norm FROM w GROUP BY name),
+     lines AS (SELECT path, i, regexp_extract_all(lower(ls[i]), '[a-z0-9]+') AS ws
+               FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, string_split(t, chr(10)) AS ls FROM f))),
+     lt AS (SELECT path, i, token, count(*) AS c FROM (SELECT path, i, unnest(ws) AS token FROM lines) GROUP BY ALL),
+     lx AS (SELECT path, i, token, c * coalesce(idf, (SELECT ln(1.0 + n) + 1.0 FROM n)) AS x FROM lt LEFT JOIN idf USING (token)),
+     len AS (SELECT path, i, sqrt(sum(x * x)) AS length FROM lx GROUP BY ALL),
+     dot AS (SELECT path, i, name, sum(x * w / norm) AS dot FROM lx JOIN w USING (token) JOIN norm USING (name) GROUP BY ALL),
+     cosine AS (SELECT path, name, round(dot / length, 6) AS score FROM dot JOIN len USING (path, i)),
+     own AS (SELECT path, name AS license, score FROM cosine WHERE score >= 0.8
+             QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, name) = 1),
+     mine AS (SELECT path, regexp_replace(path, '/?[^/]*$', '') AS dir, license, score FROM f LEFT JOIN own USING (path)),
+     granted AS (SELECT dir AS up, path AS gp, license AS gl, score AS gs FROM mine WHERE license IS NOT NULL AND regexp_matches(path, '(^|/)LICENSE-[^/]*$')
+                 QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path) = 1),
+     inherited AS (SELECT path, gp, gl, gs FROM mine JOIN granted ON up = '' OR dir = up OR starts_with(dir, up || '/')
+                   WHERE license IS NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(up) DESC) = 1)
+SELECT path, coalesce(license, gl) AS license, coalesce(score, gs) AS score,
+       CASE WHEN license IS NOT NULL THEN 'own' WHEN gl IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN license IS NOT NULL THEN path ELSE gp END AS source_path
+FROM mine LEFT JOIN inherited USING (path)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op7_licenses": OP7_SQL}
