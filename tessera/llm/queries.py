@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, licenses, packing, pii, secrets, simhash, toxicity
+from . import decontaminate, exact_dedup, language_id, licenses, packing, pii, repeats, secrets, simhash, toxicity
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_packing, op4_exact_dedup, op6_personal_data, op7_licenses, op8_secrets, op9_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_packing, op4_exact_dedup, op5_repeats, op6_personal_data, op7_licenses, op8_secrets, op9_simhash, op10_language_id)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
