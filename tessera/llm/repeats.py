@@ -5,9 +5,10 @@ with a smaller identifier, or before in the same one.
 
 1. Every such string (a window) has an anchor: the `gram` bytes in it with the least hash,
    the first of equals. Equal windows have equal anchors, so only windows whose anchor
-   occurs twice matter. Anchors are counted over all texts; a Bloom filter of the repeated
-   ones, of a fixed size, goes to all tasks. It only spares work: what it lets through in
-   error is found to be alone later.
+   occurs twice matter. Anchors are counted over all texts. Up to a stated number of
+   repeated ones, a Bloom filter of a fixed size goes to all tasks; beyond it, anchors
+   meet the repeated ones in a join and go back to their documents as lists. Either way
+   only spares work: what a filter lets through in error is found to be alone later.
 2. The windows of one anchor lie side by side. Their common context is sent to the shard of
    the anchor, its bytes once a task. Occurrences of the same context repeat the first one
    of them in full. An anchor with very many occurrences is dealt over several shards.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stash
 
 NO_ID = np.iinfo(np.int64).min
-BLOOM_BITS = 1 << 26
+BLOOM_BITS = 1 << 25
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = _RNG.integers(1, 1 << 62, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,19 +192,35 @@ def bloom(repeated: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     low = F.col("h").bitwiseAND(F.lit(bits - 1))
     high = F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1))
     slots = repeated.select(F.explode(F.array(low, high)).alias("s"))
-    words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(s & 63)))").alias("b")).toPandas()
+    words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(s & 63)))").alias("b")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return out
 
 
+def _anchor_list(length: int, gram: int):
+    def run(batches):
+        for b in batches:
+            for (k, raw), th in zip(_text_rows(b), b.column(2).to_pylist()):
+                h = np.unique(anchors(raw, length, gram)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), k)), pa.array(np.full(len(h), th))], names=["h", "k", "th"])
+
+    return run
+
+
 OCCURRENCE = "h long, salt int, c long, k long, th long, lo long, n int, ctx binary"
 
 
 def _occurrences(length: int, gram: int, words, hot: dict[int, int]):
-    def run(batches):
+    """words: the broadcast Bloom filter, or None where each row brings the list of its repeated anchors."""
+
+    def by_filter(h):
         bits = words.value
-        size = np.uint64(len(bits) * 64 - 1)
+        size, one, six, low = np.uint64(len(bits) * 64 - 1), np.uint64(1), np.uint64(6), np.uint64(63)
+        a, z = h & size, (h >> np.uint64(32)) & size
+        return np.flatnonzero((bits[a >> six] >> (a & low) & one) & (bits[z >> six] >> (z & low) & one))
+
+    def run(batches):
         seen: set[int] = set()
         cols: list[list] = [[] for _ in range(8)]
 
@@ -214,11 +231,11 @@ def _occurrences(length: int, gram: int, words, hot: dict[int, int]):
             return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in OCCURRENCE.split(", ")])
 
         for b in batches:
-            for (k, raw), th in zip(_text_rows(b), b.column(2).to_pylist()):
+            for i, ((k, raw), th) in enumerate(zip(_text_rows(b), b.column(2).to_pylist())):
+                if words is None and not b.column(3)[i].is_valid:
+                    continue
                 h, lo, hi = anchors(raw, length, gram)
-                a, z = h & size, (h >> np.uint64(32)) & size
-                one, six, low = np.uint64(1), np.uint64(6), np.uint64(63)
-                hit = np.flatnonzero((bits[a >> six] >> (a & low) & one) & (bits[z >> six] >> (z & low) & one))
+                hit = by_filter(h) if words else np.flatnonzero(np.isin(h.view(np.int64), b.column(3)[i].values.to_numpy()))
                 for x, s, e in zip(h[hit].view(np.int64).tolist(), lo[hit].tolist(), hi[hit].tolist()):
                     ctx = raw[s : e + length]
                     c = xxhash.xxh3_64_intdigest(ctx) - (1 << 63)
@@ -358,11 +375,13 @@ def remove_repeats(
     length: int = 100,
     gram: int = 16,
     hot_rows: int | None = None,
+    bloom_bits: int = BLOOM_BITS,
 ) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     hot_rows: an anchor with more occurrences is dealt over several shards; by default four
-    times as many as a shuffle partition has on average.
+    times as many as a shuffle partition has on average. bloom_bits: the filter's size, a
+    power of two; it is used for up to an eighth as many repeated anchors.
 
     Null text counts as empty; a null identifier comes before all others. Rows with one
     identifier and different texts are ordered by a hash of the text; rows that repeat both
@@ -375,12 +394,18 @@ def remove_repeats(
     own = docs.select(F.col(id_col).cast("long").alias("k"), text.cast("binary").alias("t"), F.xxhash64(text).alias("th"))
     counts = own.mapInArrow(_count(length, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     repeated = stash(counts.filter("n > 1"), "anchors")
-    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, distinct = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     limit = hot_rows or max(10_000, 4 * total // parts)
     # No more than total / limit anchors can have so many occurrences: a few times the partitions at most.
     hot = {r["h"]: int(-(-r["n"] // limit)) for r in repeated.filter(F.col("n") > limit).collect()}
-    words = spark.sparkContext.broadcast(bloom(repeated))
-    found = own.mapInArrow(_occurrences(length, gram, words, hot), OCCURRENCE)
+    if distinct <= bloom_bits // 8:
+        words = spark.sparkContext.broadcast(bloom(repeated, bloom_bits))
+        found = own.mapInArrow(_occurrences(length, gram, words, hot), OCCURRENCE)
+    else:
+        some = own.mapInArrow(_anchor_list(length, gram), "h long, k long, th long").join(repeated.select("h"), "h", "left_semi")
+        lists = some.groupBy("k", "th").agg(F.collect_set("h").alias("hs")).withColumnsRenamed({"k": "k2", "th": "th2"})  # of one document
+        each = own.join(lists, (F.coalesce("k", F.lit(NO_ID)) == F.col("k2")) & (F.col("th") == F.col("th2")), "left")
+        found = each.select("k", "t", "th", "hs").mapInArrow(_occurrences(length, gram, None, hot), OCCURRENCE)
     ranges = (
         found.repartition(parts, "h", "salt")
         .sortWithinPartitions("h", "salt", "c", "k", "th", "lo")

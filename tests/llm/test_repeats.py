@@ -46,11 +46,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,length,hot", [(1, 100, None), (2, 100, 20), (3, 40, None), (4, 40, 15)])
-def test_same_as_brute_force(spark, seed, length, hot):
+@pytest.mark.parametrize("seed,length,hot,bits", [(1, 100, None, 1 << 16), (2, 100, 20, 1 << 16), (3, 40, None, 64), (4, 40, 15, 64)])
+def test_same_as_brute_force(spark, seed, length, hot, bits):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r[0]: tuple(r[1:]) for r in remove_repeats(df, length=length, hot_rows=hot).collect()}
+    got = {r[0]: tuple(r[1:]) for r in remove_repeats(df, length=length, hot_rows=hot, bloom_bits=bits).collect()}
     assert got == brute(rows, length)
 
 
