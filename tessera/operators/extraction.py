@@ -19,13 +19,17 @@ RELATION = "chunk_id string, document_id string, source string, target string, t
 
 def pattern_relations(chunks: DataFrame, phrases=C.RELATION_PHRASES, longest: int = 50, confidence: float = 0.8) -> DataFrame:
     """Relations stated by fixed phrases; every pattern's matches, left to right without overlap; no self-relations."""
+    # A match holds no other characters than these, so pieces between others are matched one by one, and only those with a phrase.
+    any_phrase = "(?i)" + "|".join(p for _, p, _ in phrases)
+    pieces = chunks.filter(F.col("content").rlike(any_phrase)).select("chunk_id", "document_id", F.explode(F.split("content", r"[^A-Za-z0-9 _,-]+")).alias("piece"))
+    pieces = pieces.filter(F.col("piece").rlike(any_phrase))
     parts = []
     for kind, phrase, swapped in phrases:
         pattern = f"(?i)({C.RELATION_NAME}){phrase}({C.RELATION_NAME})"
         ends = (2, 1) if swapped else (1, 2)
-        hits = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(pattern), F.lit(g)).alias(n) for g, n in zip(ends, ("source", "target"))])
-        parts.append(_typed(hits, kind))
-    rows = chunks.select("chunk_id", "document_id", F.explode(F.flatten(F.array(*parts))).alias("r")).select("chunk_id", "document_id", "r.*")
+        hits = F.arrays_zip(*[F.regexp_extract_all("piece", F.lit(pattern), F.lit(g)).alias(n) for g, n in zip(ends, ("source", "target"))])
+        parts.append(F.when(F.col("piece").rlike("(?i)" + phrase), _typed(hits, kind)).otherwise(F.array().cast("array<struct<source:string,target:string,type:string>>")))
+    rows = pieces.select("chunk_id", "document_id", F.explode(F.flatten(F.array(*parts))).alias("r")).select("chunk_id", "document_id", "r.*")
     ok = (F.lower("source") != F.lower("target")) & (F.char_length("source") <= longest) & (F.char_length("target") <= longest) & (F.col("source") != "") & (F.col("target") != "")
     return rows.filter(ok).select("chunk_id", "document_id", "source", "target", "type", F.lit(confidence).alias("confidence"), F.lit("rule").alias("method"))
 
@@ -44,9 +48,11 @@ def verb_relations(chunks: DataFrame, confidence: float = 0.7, longest: int = 50
     verbs = "|".join(sorted(forms, key=len, reverse=True))
     np = r"((?:the |a |an )?[A-Za-z][A-Za-z0-9-]*(?: [A-Za-z0-9-]+){0,3}?)"
     pattern = rf"(?i)\b{np} ({verbs}) ((?:the |a |an )?[A-Za-z][A-Za-z0-9-]*(?: [A-Za-z0-9-]+){{0,2}})"
-    hits = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "s"), (2, "v"), (3, "o"))])
+    hits = F.arrays_zip(*[F.regexp_extract_all("piece", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "s"), (2, "v"), (3, "o"))])
     kinds = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv])
-    rows = chunks.select("chunk_id", "document_id", F.explode(hits).alias("h")).select(
+    said = rf"(?i) (?:{verbs}) "
+    pieces = chunks.filter(F.col("content").rlike(said)).select("chunk_id", "document_id", F.explode(F.split("content", r"[^A-Za-z0-9 -]+")).alias("piece"))
+    rows = pieces.filter(F.col("piece").rlike(said)).select("chunk_id", "document_id", F.explode(hits).alias("h")).select(
         "chunk_id", "document_id", F.trim("h.s").alias("source"), F.trim("h.o").alias("target"), kinds[F.lower("h.v")].alias("type")
     )
     return rows.filter((F.lower("source") != F.lower("target")) & (F.char_length("source") <= longest) & (F.char_length("target") <= longest)).select(
@@ -137,10 +143,14 @@ def validate_relations(relations: DataFrame, mentions: DataFrame, least: float =
 
 def acronym_definitions(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """id, acronym, expansion, context: `Long form (LF)` and `LF (long form)`."""
+    # Both forms stand around one opening bracket: 120 characters on either side hold them.
+    parts = F.split(text_col, r"\(")
+    around = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.right(F.get(parts, i - 1), F.lit(120)), F.lit("("), F.left(F.get(parts, i), F.lit(120))))
+    near = chunks.filter(F.col(text_col).contains("(")).select(id_col, text_col, F.explode(around).alias("_near"))
     out = None
     for pattern, a, e in ((C.ACRONYM_BEFORE, 2, 1), (C.ACRONYM_AFTER, 1, 2)):
-        hits = F.arrays_zip(*[F.regexp_extract_all(text_col, F.lit(pattern), F.lit(g)).alias(n) for g, n in ((a, "a"), (e, "e"), (0, "m"))])
-        rows = chunks.select(id_col, text_col, F.explode(hits).alias("h")).select(
+        hits = F.arrays_zip(*[F.regexp_extract_all("_near", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((a, "a"), (e, "e"), (0, "m"))])
+        rows = near.select(id_col, text_col, F.explode(hits).alias("h")).select(
             id_col, F.col("h.a").alias("acronym"), X.clean_expansion(F.col("h.e")).alias("expansion"),
             X.sentence_context(F.col(text_col), F.instr(F.col(text_col), F.col("h.m")) - 1, F.instr(F.col(text_col), F.col("h.m")) - 1 + F.char_length("h.m")).alias("context"),
         )

@@ -1,17 +1,46 @@
-"""Queries over the driver tables, one per implemented operator, and SQL with the same rows."""
+"""Queries over the driver tables, one or more per operator family, and SQL with the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function as a query under its own name."""
+
+    def put(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
 
-def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").groupBy("source").count()
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def queries() -> dict:
-    return {}
+
+def _load() -> None:
+    from . import graph_queries, relational_queries, text_queries, vector_queries  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    """Hybrid retrieval on the smallest tables."""
+    return queries()["hybrid_retrieve"](spark, "/root/testdata/sf0.001")
