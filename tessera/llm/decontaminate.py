@@ -84,7 +84,7 @@ def decontaminate(
         of_k = windows.filter(F.col("len") >= k) if k == shingle else windows.filter(F.col("len") == k)
         every = of_k.select("w", "len", "items", F.explode(F.sequence(F.lit(0), F.col("len") - k)).alias("off"))
         every = every.withColumn("h", shingle_hash(F.col("w"), F.col("off"), k))
-        found = _matches(words, every, k, broadcast_rows)
+        found = _matches(words, every, k, window, broadcast_rows)
         hits = found if hits is None else hits.union(found)
     counts = words.select("doc_id", "th", F.size("ws").cast("long").alias("n_words"))
     if hits is None:
@@ -117,7 +117,7 @@ def decontaminate(
     )
 
 
-def _matches(words: DataFrame, every: DataFrame, k: int, broadcast_rows: int) -> DataFrame:
+def _matches(words: DataFrame, every: DataFrame, k: int, window: int, broadcast_rows: int) -> DataFrame:
     """doc_id, th, start, len, items of every verified occurrence of a window."""
     hashes = every.select("h").distinct()
     small = hashes.count() <= broadcast_rows
@@ -129,10 +129,18 @@ def _matches(words: DataFrame, every: DataFrame, k: int, broadcast_rows: int) ->
     )
     prefix = rated.filter("least > 0").withColumn("h", shingle_hash(F.col("w"), F.col("off"), k)).select("h", "off", "w", "len", "items")
     prefix = stash(prefix, "prefixes")
-    hint = F.broadcast if prefix.count() <= broadcast_rows else (lambda df: df.hint("merge"))
     start = F.col("pos") - F.col("off")
-    found = _positions(words, k).join(hint(prefix), "h").filter((start >= 0) & (start + F.col("len") <= F.size("ws")))
-    found = found.filter(F.slice("ws", start + 1, F.col("len")) == F.col("w"))
+    at = _positions(words, k)
+    if prefix.count() <= broadcast_rows:
+        found = at.join(F.broadcast(prefix), "h").withColumn("first", F.lit(0))
+    else:
+        # Rows that move take along the words that a window around the shingle can have, not the document.
+        first = F.greatest(F.lit(0), F.col("pos") - (window - k))
+        at = at.select("doc_id", "th", "h", "pos", first.alias("first"), F.slice("ws", first + 1, F.lit(2 * window - k)).alias("ws"))
+        found = at.join(prefix.hint("merge"), "h")
+    end = F.size("ws") + F.col("first")
+    found = found.filter((start >= 0) & (start + F.col("len") <= end))
+    found = found.filter(F.slice("ws", start - F.col("first") + 1, F.col("len")) == F.col("w"))
     return found.select("doc_id", "th", start.alias("start"), "len", "items")
 
 

@@ -233,7 +233,7 @@ def train(
     label_col: str = "toxic",
     max_docs: int = 12_000,
     lexicon: int = 5_000,
-    least_z: float = 4.0,
+    least_z: float = 3.5,
     least_docs: int = 3,
 ) -> ToxicityModel:
     """Letter model over all docs; word weights and classifier on at most max_docs labelled ones (smallest hash first).
