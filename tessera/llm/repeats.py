@@ -11,7 +11,8 @@ with a smaller identifier, or before in the same one.
    only spares work: what a filter lets through in error is found to be alone later.
 2. The windows of one anchor lie side by side. Their common context is sent to the shard of
    the anchor, its bytes once a task. Occurrences of the same context repeat the first one
-   of them in full. An anchor with very many occurrences is dealt over several shards.
+   of them in full. An anchor with very many occurrences is dealt over several shards by
+   document and place, whatever its contexts.
 3. In a shard the different contexts are sorted by their suffixes (Larsson-Sadakane
    refinement with ranks that double in depth), neighbours' common prefixes follow by
    Kasai's rule, and runs of `length` or more are equal windows: all but the earliest go.
@@ -221,7 +222,7 @@ def _occurrences(length: int, gram: int, words, hot: dict[int, int]):
         return np.flatnonzero((bits[a >> six] >> (a & low) & one) & (bits[z >> six] >> (z & low) & one))
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set = set()
         cols: list[list] = [[] for _ in range(8)]
 
         def batch():
@@ -239,13 +240,15 @@ def _occurrences(length: int, gram: int, words, hot: dict[int, int]):
                 for x, s, e in zip(h[hit].view(np.int64).tolist(), lo[hit].tolist(), hi[hit].tolist()):
                     ctx = raw[s : e + length]
                     c = xxhash.xxh3_64_intdigest(ctx) - (1 << 63)
-                    if c in seen:
+                    salt = (31 * k + s) % hot[x] if x in hot else 0
+                    mark = (c, salt) if salt else c
+                    if mark in seen:
                         ctx = None
                     else:
                         if len(seen) > 500_000:
                             seen.clear()
-                        seen.add(c)
-                    row = (x, c % hot[x] if x in hot else 0, c, k, th, s, e - s + 1, ctx)
+                        seen.add(mark)
+                    row = (x, salt, c, k, th, s, e - s + 1, ctx)
                     for col, v in zip(cols, row):
                         col.append(v)
                 if len(cols[0]) > 20_000:
