@@ -114,12 +114,18 @@ def preserved(original: Column, rewritten: Column) -> Column:
 
 # ---------------------------------------------------------------- names
 
-OPEN, SHUT = "\ue000", "\ue001"  # around place holders; private characters that no rule touches
+OPEN, SHUT = "\ue000", "\ue001"  # around place holders, whose numbers are private characters too, so that no rule touches them
+_TO = {48 + d: 0xE010 + d for d in range(10)}
+_BACK = {v: k for k, v in _TO.items()}
 _CASE = [re.compile(re.escape(t), re.I) for t in C.CASE_TERMS] + [re.compile(p) for p in C.CASE_PATTERNS]
-_DROP = re.compile(rf"[^\w\s{OPEN}{SHUT}{re.escape(C.KEPT_SYMBOLS)}]")
+_DROP = re.compile(rf"[^\w\s\ue000-\ue019{re.escape(C.KEPT_SYMBOLS)}]")
 _ARTICLE = re.compile(rf"^(?:{'|'.join(C.ARTICLES)})\s+", re.I)
 
 
+def _mark(i: int) -> str:
+    return f"{OPEN}{str(i).translate(_TO)}{SHUT}"
+
+
 def _protect(text: str) -> tuple[str, list[str]]:
     """Terms whose case and symbols stay, replaced by place holders; of overlapping ones the first and longest."""
     spans = sorted((m.start(), -m.end()) for p in _CASE for m in p.finditer(text))
@@ -127,14 +133,14 @@ def _protect(text: str) -> tuple[str, list[str]]:
     for start, stop in spans:
         if start < end:
             continue
-        out += [text[end:start], f"{OPEN}{len(kept)}{SHUT}"]
+        out += [text[end:start], _mark(len(kept))]
         kept.append(text[start:-stop])
         end = -stop
     return "".join(out) + text[end:], kept
 
 
 def _restore(text: str, kept: list[str]) -> str:
-    return re.sub(f"{OPEN}(\\d+){SHUT}", lambda m: kept[int(m[1])], text)
+    return re.sub(f"{OPEN}([\ue010-\ue019]+){SHUT}", lambda m: kept[int(m[1].translate(_BACK))], text)
 
 
 def normalize_text(text: str | None) -> tuple[str, str]:
@@ -197,7 +203,7 @@ def clean_text(text: str, fix_words: bool = False) -> str:
 
     def aside(m: re.Match) -> str:
         kept.append(m[0])
-        return f"{OPEN}{len(kept) - 1}{SHUT}"
+        return _mark(len(kept) - 1)
 
     for pattern in _KEEP[:5]:
         text = pattern.sub(aside, text)

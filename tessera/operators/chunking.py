@@ -32,6 +32,9 @@ def sections(docs: DataFrame, id_col: str = "document_id", text_col: str = "raw_
     lines = lines.withColumn("stray", stray).withColumn("h1", F.when((F.col("seen1") == 0) & (F.col("any2") > 0), 1).otherwise(F.col("seen1") + F.when(F.col("seen1") > 0, F.col("stray")).otherwise(0)))
     lines = lines.filter("h1 > 0")
     lines = lines.withColumn("h2", F.sum(is2.cast("int")).over(W.partitionBy("document_id", "h1").orderBy("pos")))
+    named = lines.filter("stray = 1 and h1 = 1").groupBy("document_id").agg(F.min("path").alias("path"))
+    named = named.select("document_id", "path", F.lit(-1).alias("pos"), F.lit("").alias("line"), F.lit(1).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"))
+    lines = lines.select("document_id", "path", "pos", "line", "h1", "h2").unionByName(named)
     body = F.filter(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: ~(s["line"].startswith("# ") | s["line"].startswith("## ")))
     text = F.trim(F.array_join(F.transform(body, lambda s: F.rtrim(s["line"])), "\n"))
     head = F.min_by("line", "pos")

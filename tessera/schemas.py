@@ -27,15 +27,16 @@ def struct(name: str) -> T.StructType:
 def uuid5(name: Column) -> Column:
     """RFC 4122 version 5 identifier in the URL name space, from built-in functions."""
     digest = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), F.encode(name, "UTF-8")))
-    variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
-    return F.concat_ws(
+    variant = lambda d: F.lower(F.hex(F.conv(F.substring(d, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    parts = lambda d: F.concat_ws(
         "-",
-        F.substring(digest, 1, 8),
-        F.substring(digest, 9, 4),
-        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(variant, F.substring(digest, 18, 3)),
-        F.substring(digest, 21, 12),
+        F.substring(d, 1, 8),
+        F.substring(d, 9, 4),
+        F.concat(F.lit("5"), F.substring(d, 14, 3)),
+        F.concat(variant(d), F.substring(d, 18, 3)),
+        F.substring(d, 21, 12),
     )
+    return F.get(F.transform(F.array(digest), parts), F.lit(0))  # a lambda's argument is computed once, however long its expression
 
 
 def key_fragment(value: Column) -> Column:

@@ -49,6 +49,7 @@ def version_of(text: Column) -> Column:
 
 def date_of(text: Column) -> Column:
     """ISO date of the first pattern whose match is a real date."""
+    # Both formats of a match are tried on one extracted value.
     parse = lambda s: F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")), F.try_to_timestamp(s, F.lit("MM/dd/yyyy")))
     return F.coalesce(*[F.date_format(parse(F.nullif(F.regexp_extract(text, p, 1), F.lit(""))), "yyyy-MM-dd") for p in C.DATE_PATTERNS])
 
