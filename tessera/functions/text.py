@@ -114,11 +114,11 @@ def preserved(original: Column, rewritten: Column) -> Column:
 
 # ---------------------------------------------------------------- names
 
-OPEN, SHUT = "\ue000", "\ue001"  # around place holders, whose numbers are private characters too, so that no rule touches them
-_TO = {48 + d: 0xE010 + d for d in range(10)}
+OPEN, SHUT = "\ue000", "\ue001"  # private characters around place holders, whose numbers are written with a to j: words, no digits
+_TO = {48 + d: 97 + d for d in range(10)}
 _BACK = {v: k for k, v in _TO.items()}
 _CASE = [re.compile(re.escape(t), re.I) for t in C.CASE_TERMS] + [re.compile(p) for p in C.CASE_PATTERNS]
-_DROP = re.compile(rf"[^\w\s\ue000-\ue019{re.escape(C.KEPT_SYMBOLS)}]")
+_DROP = re.compile(rf"[^\w\s\ue000\ue001{re.escape(C.KEPT_SYMBOLS)}]")
 _ARTICLE = re.compile(rf"^(?:{'|'.join(C.ARTICLES)})\s+", re.I)
 
 
@@ -140,7 +140,7 @@ def _protect(text: str) -> tuple[str, list[str]]:
 
 
 def _restore(text: str, kept: list[str]) -> str:
-    return re.sub(f"{OPEN}([\ue010-\ue019]+){SHUT}", lambda m: kept[int(m[1].translate(_BACK))], text)
+    return re.sub(f"{OPEN}([a-j]+){SHUT}", lambda m: kept[int(m[1].translate(_BACK))], text)
 
 
 def normalize_text(text: str | None) -> tuple[str, str]:

@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import candidates as K
 from ..operators import chunking as H
 from ..operators import extraction as E
+from ..operators import graph as G
 from ..operators import update as U
 from ..operators import vectors as V
 from ..sources import files
@@ -22,10 +23,14 @@ Stage = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
 
 
 def run_stages(tables: dict[str, DataFrame], stages: list[tuple[str, Stage]], skip: set[str] = frozenset()) -> dict[str, DataFrame]:
-    """Sequential stages; each adds to or replaces the tables it is given."""
+    """Sequential stages; each adds to or replaces the tables it is given.
+
+    What a stage makes is written to the shared folder: later plans start from files, and a
+    lost executor costs no more than its own stage.
+    """
     for name, stage in stages:
         if name not in skip:
-            tables = tables | stage(tables)
+            tables = tables | {k: G.written(df, k) for k, df in stage(tables).items()}
     return tables
 
 
@@ -82,7 +87,8 @@ def ingest(spark: SparkSession, path: str, store: Store, force: bool = False, to
     """
     docs = files.read_documents(files.scan_files(spark, path))
     catalog = store.read("documents").withColumnRenamed("document_id", "id")
-    new = U.to_ingest(docs.filter("error is null"), catalog, force).cache()
+    docs = G.written(docs, "read")
+    new = G.written(U.to_ingest(docs.filter("error is null"), catalog, force), "new")
     stale = U.outdated(new, catalog).select(F.col("id").alias("document_id"))
     redone = new.select("document_id").union(stale).distinct()
     t = run_stages({"documents": new}, STAGES, skip)
@@ -105,5 +111,4 @@ def ingest(spark: SparkSession, path: str, store: Store, force: bool = False, to
         linked = new.select("document_id", F.array(*map(F.lit, topics)).alias("topics"))
         old = store.read("document_topics") if store.exists("document_topics") else None
         store.write("document_topics", K.links(old, linked, "document_id", "topics", "topic"))
-    new.unpersist()
     return counts

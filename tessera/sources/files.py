@@ -30,13 +30,17 @@ def read_documents(files: DataFrame, pdf=None) -> DataFrame:
     raw = F.when(is_text, F.decode("content", "UTF-8"))
     if pdf is not None:
         raw = raw.when(F.col("suffix") == "pdf", pdf(F.col("content")))
-    docs = files.withColumn("raw_text", raw)
-    sum_ = F.when(is_text, F.sha2("raw_text", 256)).otherwise(F.col("checksum"))
-    out = docs.select(
-        schemas.uuid5(sum_).alias("document_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), sum_.alias("checksum"), F.col("path").alias("file_path"), "raw_text",
-        F.when(F.col("raw_text").isNull(), F.concat(F.lit("no reader for ."), F.col("suffix"))).alias("error"),
-    )
-    return out.withColumn("title", chunking.infer_title(F.col("raw_text"), F.col("file_path"))).withColumns({"version": version_of(F.col("raw_text")), "date": date_of(F.col("raw_text"))})
+    told = lambda r: F.struct(  # noqa: E731  what follows from a text, which is a lambda's argument and so decoded once
+        r.alias("raw_text"),
+        F.when(is_text, F.sha2(r, 256)).otherwise(F.col("checksum")).alias("checksum"),
+        chunking.infer_title(r, F.col("path")).alias("title"),
+        version_of(r).alias("version"),
+        date_of(r).alias("date"),
+    )
+    docs = files.select("path", "suffix", F.get(F.transform(F.array(raw), told), F.lit(0)).alias("d"))
+    docs = docs.select(F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), F.col("path").alias("file_path"), "suffix", "d.*")
+    error = F.when(F.col("raw_text").isNull(), F.concat(F.lit("no reader for ."), F.col("suffix")))
+    return docs.select(schemas.uuid5(F.col("checksum")).alias("document_id"), "*", error.alias("error")).drop("suffix")
 
 
 def _first(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -49,9 +53,10 @@ def version_of(text: Column) -> Column:
 
 def date_of(text: Column) -> Column:
     """ISO date of the first pattern whose match is a real date."""
-    # Both formats of a match are tried on one extracted value.
-    parse = lambda s: F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")), F.try_to_timestamp(s, F.lit("MM/dd/yyyy")))
-    return F.coalesce(*[F.date_format(parse(F.nullif(F.regexp_extract(text, p, 1), F.lit(""))), "yyyy-MM-dd") for p in C.DATE_PATTERNS])
+    found = F.array(*[F.regexp_extract(text, p, 1) for p in C.DATE_PATTERNS])
+    iso = lambda s: F.when(s.rlike(r"^\d{4}-"), s).otherwise(F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 1, 2), F.substring(s, 4, 2)))
+    real = F.filter(F.transform(F.filter(found, lambda s: s != ""), iso), lambda s: s.try_cast("date").isNotNull())
+    return F.get(real, F.lit(0))
 
 
 def pdf_date(value: Column) -> Column:
