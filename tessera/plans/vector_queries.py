@@ -60,15 +60,17 @@ def vector_norms(spark, sf):
     return points(spark, sf).select("id", F.round(S.norm(F.col("vec")), 5).alias("norm"), F.size(S.l2_normalize(F.col("vec"))).cast("long").alias("n"))
 
 
+#: The table's vectors are far apart: none of one label are within the deduplication threshold of 0.85.
+CLOSE = 0.3
 PAIRS = f"""
 pairs AS (SELECT a.vec_id AS l, b.vec_id AS r, {COS.format(a='a.embedding', b='b.embedding')} AS s
           FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-          WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.85)"""
+          WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.3)"""
 
 
 @query(f'WITH {PAIRS} SELECT l AS "left", r AS "right", round(s, 5) AS similarity FROM pairs')
 def similarity_pairs(spark, sf):
-    return V.similar_pairs(points(spark, sf)).select("left", "right", F.round("similarity", 5).alias("similarity"))
+    return V.similar_pairs(points(spark, sf), CLOSE).select("left", "right", F.round("similarity", 5).alias("similarity"))
 
 
 @query(f"""
@@ -77,13 +79,13 @@ WITH RECURSIVE {PAIRS},
      reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
 SELECT a AS node, min(least(a, b)) AS component FROM reach GROUP BY a""")
 def similarity_clusters(spark, sf):
-    return G.connected_components(V.similar_pairs(points(spark, sf)))
+    return G.connected_components(V.similar_pairs(points(spark, sf), CLOSE))
 
 
 @query()
 def merge_suggestions(spark, sf):
     p = points(spark, sf).withColumns({"mention_count": F.col("id") % 7 + 1, "description": F.lit(""), "name": F.col("id").cast("string")})
-    pairs = V.similar_pairs(p)
+    pairs = V.similar_pairs(p, CLOSE)
     return V.merge_suggestions(pairs, V.clusters(pairs, p), p).withColumns({c: F.round(c, 5) for c in ("similarity", "confidence")})
 
 
