@@ -170,7 +170,7 @@ def path_chunk_score(spark, sf):
 
 
 def with_content(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 400).alias("content"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     return hits(spark, sf).join(docs, "chunk_id")
 
 
