@@ -75,6 +75,23 @@ def decontaminate(
     apart by their texts. Empty tables give no rows, or rows without hits. Other columns are
     ignored, whatever their names.
     """
+    how = (item_id_col, item_text_col, window, shingle, least_share, broadcast_rows)
+    return _judged(docs, items, id_col, text_col, *how).drop("th")
+
+
+def _judged(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 13,
+    shingle: int = 5,
+    least_share: int = 20,
+    broadcast_rows: int = 100_000,
+) -> DataFrame:
+    """The rows of decontaminate(), each with th, the hash of its text."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     words = base.select("doc_id", F.xxhash64("t").alias("th"), words_of(F.col("t")).alias("ws"))
     windows = stash(item_windows(items, item_id_col, item_text_col, window), "windows")
@@ -109,6 +126,7 @@ def decontaminate(
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         "doc_id",
+        "th",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
@@ -145,6 +163,7 @@ def _matches(words: DataFrame, every: DataFrame, k: int, window: int, broadcast_
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the contaminated ones."""
-    bad = decontaminate(docs, items, id_col, text_col, **how).filter("contaminated").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["_k"]), "left_anti").select(*docs.columns)
+    """docs without the contaminated ones, by identifier and text: other texts of the same identifier, or of none, stay."""
+    bad = _judged(docs, items, id_col, text_col, **how).filter("contaminated").select(F.col("doc_id").alias("_k"), F.col("th").alias("_t")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(bad["_k"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_t"])
+    return docs.join(bad, same, "left_anti").select(*docs.columns)

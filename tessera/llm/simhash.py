@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stash
@@ -46,9 +46,9 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 def _fingerprints(shingle: int):
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
+            ids, hashes, texts = b.column(0), b.column(1), b.column(2)
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "th", "fp"])
 
     return run
 
@@ -139,11 +139,18 @@ def near_groups(
     get the same answer. A null identifier counts for nothing unless its component has no
     other. Empty input gives no rows. Other columns are ignored, whatever their names.
     """
+    return _grouped(docs, F.lit(""), id_col, text_col, shingle, radius, blocks).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(docs: DataFrame, text_hash: Column, id_col: str, text_col: str, shingle: int = 3, radius: int = 2, blocks: int = 5) -> DataFrame:
+    """One row per input row: doc_id, th (text_hash), fp, root (one fingerprint of the component), component_id."""
     parts = shuffle_partitions(docs.sparkSession)
     masks = block_masks(blocks, radius)
     fps = stash(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-        .mapInArrow(_fingerprints(shingle), "doc_id long, fp long"),
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias("th"), F.col(text_col).cast("binary").alias("t"))
+        .mapInArrow(_fingerprints(shingle), "doc_id long, th string, fp long"),
         "fingerprints",
     )
     reps = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "reps")
@@ -159,13 +166,19 @@ def near_groups(
     comp = components(links)
     root = reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = root.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = root.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    of_fp = root.join(least, "root").select("fp", "root", "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each component stays: the one whose identifier is the component's."""
-    stay = near_groups(docs, id_col, text_col, **how).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_k"]), "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    """One document of each component stays: the one whose identifier is the component's.
+
+    Documents are told apart by identifier and text: rows that share an identifier, or have
+    none, each stay or go with their own component. Where several texts of one component
+    have its identifier, the first by hash stays; of rows that repeat both, one.
+    """
+    text_hash = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    stay = _grouped(docs, text_hash, id_col, text_col, **how).filter("doc_id <=> component_id").groupBy("root", F.col("doc_id").alias("_k")).agg(F.min("th").alias("_t"))
+    own = docs.withColumn("_h", text_hash)
+    joined = own.join(stay.select("_k", "_t"), (F.col("_h") == F.col("_t")) & own[id_col].cast("long").eqNullSafe(F.col("_k")), "left_semi")
+    return joined.dropDuplicates([id_col, "_h"]).select(*docs.columns)
