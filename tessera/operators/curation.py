@@ -148,22 +148,49 @@ def normalization_entries(entities: DataFrame, normalized=F.lower) -> DataFrame:
     return said.groupBy(normalized(F.trim("raw")).alias("normalized_form"), F.col("id").alias("canonical_id"), "canonical_name", "entity_type").agg(F.array_sort(F.collect_set("raw")).alias("raw_variants"))
 
 
-def duplicates(candidates: DataFrame, top: int = 5, least: float = 0.7, prefix: int = 3) -> DataFrame:
-    """Likely duplicates of each candidate among those of its type: a shared alias 1, alike names, a name in an alias .9."""
-    c = candidates.select("candidate_key", "candidate_type", schemas.approved_key(F.col("canonical_name")).alias("n"), F.transform(_list("aliases"), lambda a: F.lower(F.trim(a))).alias("al"))
-    alias = c.select("candidate_key", "candidate_type", F.explode("al").alias("a"))
+def duplicates(candidates: DataFrame, top: int = 5, least: float = 0.7) -> DataFrame:
+    """Likely duplicates of each candidate among all others, of any type: a shared alias 1, alike names, a name in an alias .9."""
+    c = candidates.select("candidate_key", schemas.approved_key(F.col("canonical_name")).alias("n"), F.transform(_list("aliases"), lambda a: F.lower(F.trim(a))).alias("al"))
+    alias = c.select("candidate_key", F.explode("al").alias("a"))
     pair = lambda a, b, on: a.join(b, on).filter("left <> right")
-    shared = pair(alias.withColumnRenamed("candidate_key", "left"), alias.withColumnRenamed("candidate_key", "right"), ["candidate_type", "a"]).select("left", "right", F.lit(1.0).alias("score"))
-    named = c.select("candidate_key", "candidate_type", F.col("n").alias("a"))
-    inside = pair(named.withColumnRenamed("candidate_key", "left"), alias.withColumnRenamed("candidate_key", "right"), ["candidate_type", "a"]).select("left", "right", F.lit(0.9).alias("score"))
+    shared = pair(alias.withColumnRenamed("candidate_key", "left"), alias.withColumnRenamed("candidate_key", "right"), ["a"]).select("left", "right", F.lit(1.0).alias("score"))
+    named = c.select("candidate_key", F.col("n").alias("a"))
+    inside = pair(named.withColumnRenamed("candidate_key", "left"), alias.withColumnRenamed("candidate_key", "right"), ["a"]).select("left", "right", F.lit(0.9).alias("score"))
     inside = inside.union(inside.select("right", "left", "score"))
-    b = c.select("candidate_key", "candidate_type", "n", F.substring("n", 1, prefix).alias("block"))
-    close = b.select(F.col("candidate_key").alias("left"), "candidate_type", "block", F.col("n").alias("ln")).join(b.select(F.col("candidate_key").alias("right"), "candidate_type", "block", F.col("n").alias("rn")), ["candidate_type", "block"]).filter("left <> right")
-    close = close.withColumn("score", S.sequence_ratio("ln", "rn")).filter(F.col("score") > least).select("left", "right", "score")
+    # Keys of one name score alike, so only its first `top` besides the candidate itself can be among the best.
+    first = named.withColumn("_n", F.row_number().over(W.partitionBy("a").orderBy("candidate_key"))).filter(F.col("_n") <= top + 1)
+    close = similar_names(named.select(F.col("a").alias("n")), least)
+    close = close.join(named.select(F.col("candidate_key").alias("left"), F.col("a").alias("ln")), "ln").join(first.select(F.col("candidate_key").alias("right"), F.col("a").alias("rn")), "rn")
+    close = close.filter("left <> right").select("left", "right", "score")
     best = shared.union(inside).union(close).groupBy("left", "right").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(W.partitionBy("left").orderBy(F.desc("score"), "right"))).filter(F.col("rank") <= top)
 
 
+#: Names of these lengths together may be alike (over 0.7) without two equal letters in a row; longer ones may not.
+SHORT = 17
+
+
+def similar_names(names: DataFrame, least: float = 0.7) -> DataFrame:
+    """ln, rn, score of every ordered pair of distinct names with a sequence ratio over `least`, of 0.7 or more.
+
+    Nothing is lost before the ratio. Of lengths a and b, M letters match in k blocks with
+    k - 1 <= a + b - 2M gaps, and M > 0.7 (a + b) / 2: so 0.35 (a + b) < min(a, b), and for
+    a + b over SHORT some block has two letters. Pairs up to SHORT meet by single letters.
+    """
+    if least < 0.7:
+        raise ValueError("names are filtered for a ratio of 0.7 or more")
+    n = names.filter("n is not null").distinct().withColumn("z", F.char_length("n"))
+    at = F.sequence(F.lit(1), F.col("z"))
+    grams = F.when(F.col("z") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.col("z") - 1, F.lit(1))), lambda i: F.substr("n", i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    letters = F.when((F.col("z") > 0) & (F.col("z") < SHORT), F.transform(at, lambda i: F.substr("n", i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    units = n.select("n", "z", F.explode(F.array_distinct(F.concat(grams, letters))).alias("u"))
+    a, b = (units.select(F.col("n").alias(f"{x}n"), F.col("z").alias(f"{x}z"), "u") for x in "lr")
+    total = F.col("lz") + F.col("rz")
+    met = a.join(b, "u").filter((20 * F.least("lz", "rz") > 7 * total) & ((F.char_length("u") == 2) | (total <= SHORT)))
+    met = met.select("ln", "rn").distinct().union(n.filter("z = 0").select(F.col("n").alias("ln"), F.col("n").alias("rn")))
+    return met.withColumn("score", S.sequence_ratio("ln", "rn")).filter(F.col("score") > least)
+
+
 def filter_rows(candidates: DataFrame, least: float | None = None, kind: str | None = None, text: str | None = None) -> DataFrame:
     """Interactive filter: confidence, type, and a substring of name or alias."""
     rows = K.scan(candidates, None, [kind] if kind else None, least)

@@ -53,12 +53,11 @@ def fuzzy_suggestions(candidates: DataFrame, threshold: float = 0.9, prefix: int
     return out if most is None else out.orderBy(F.desc("confidence"), "left", "right").limit(most)
 
 
-def top_choices(sources: DataFrame, choices: DataFrame, k: int = 3, threshold: float = 0.9, block: int = 1) -> DataFrame:
-    """Best k choices of each source name among those of its type that start alike."""
-    a = sources.select(F.lower(F.trim("name")).alias("source"), "entity_type").distinct()
-    b = choices.select(F.lower(F.trim("name")).alias("choice"), "entity_type").distinct()
-    pairs = a.join(b, (a["entity_type"] == b["entity_type"]) & (F.substring("source", 1, block) == F.substring("choice", 1, block))).select("source", "choice")
-    scored = pairs.withColumn("score", S.fuzzy_weighted("source", "choice")).withColumn("passed", F.col("score") >= S.fuzzy_threshold(F.col("source"), F.col("choice"), threshold))
+def top_choices(sources: DataFrame, choices: DataFrame, k: int = 3, threshold: float = 0.9) -> DataFrame:
+    """Best k choices of each source name; every distinct choice is scored, as the best k have no least score."""
+    a = sources.select(F.lower(F.trim("name")).alias("source")).distinct()
+    b = choices.select(F.lower(F.trim("name")).alias("choice")).distinct()
+    scored = a.crossJoin(b).withColumn("score", S.fuzzy_weighted("source", "choice")).withColumn("passed", F.col("score") >= S.fuzzy_threshold(F.col("source"), F.col("choice"), threshold))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("score"), "choice"))).filter(F.col("rank") <= k)
 
 
