@@ -34,10 +34,11 @@ LOOKALIKES = {
 DISGUISE, MARK, COPY, GAP = -1.5, -4.0, -0.7, -2.0
 
 WORDS = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"(?=.*[a-z])(?=.*[0-9@$!|+(€£¡])[a-z0-9@$!|+(€£¡]{3,}")
-LONG = re.compile(r"([a-z])\1\1")
-DOTTED = re.compile(r"(?:[a-z0-9@$!|+][._*~-]+){2,}[a-z0-9@$!|+]")
-SPACED = re.compile(r"(?<!\S)(?:[a-z0-9@$!|+][ \t]+){2,}[a-z0-9@$!|+](?![^\s.,;:?!])")
+LATTICE = r"a-z0-9@$!|+(€£¡"
+RUN = re.compile(rf"[{LATTICE}]+")
+JOINED = re.compile(rf"[{LATTICE}]+(?:(?:(?![{LATTICE}])[\W_])+[{LATTICE}]+)+")
+DISGUISED = re.compile(r"(?=.*[a-z])(?=.*[^a-z]).{3,}|.*([a-z])\1.*")
+SPACED = re.compile(r"(?<!\S)(?:[a-z0-9@$!|+][.,;:_*~-]*[ \t]+){2,}[a-z0-9@$!|+](?![^\s.,;:?!])")
 TRIM = ".,;:?!\"'()[]{}"
 
 
@@ -144,11 +145,14 @@ class Restorer:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             words = WORDS.findall(chunk)
-            bare = chunk.strip(TRIM)
-            if MIXED.fullmatch(bare) or LONG.search(bare):
-                words += decode(bare, self.model).split()
-            elif len(bare) > 4 and DOTTED.fullmatch(bare):
-                words += decode(bare, self.model, spaced=True).split()
+            for run in RUN.findall(chunk):
+                run = run.lstrip("(").rstrip("!(")
+                if DISGUISED.fullmatch(run):
+                    words += decode(run, self.model).split()
+            for run in JOINED.findall(chunk):
+                run = run.lstrip("(").rstrip("!(")
+                if len(run) > 4:
+                    words += decode(run, self.model, spaced=True).split()
             found = self.cache[chunk] = tuple(self.use(dict.fromkeys(words)))
         return found
 
