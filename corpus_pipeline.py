@@ -18,7 +18,7 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.train(docs.filter(~language_id.held_out("doc_id", 5, 0)), hidden=12)
+    model = language_id.train(docs.filter(~language_id.held_out("doc_id", 5, 0)))
     return language_id.keep_known(docs, model, least=LEAST_SCORE)
 
 

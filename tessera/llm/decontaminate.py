@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stash
+from .common import lower_ascii, stash, unused
 
 #: What lies between words: everything ASCII but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+BROADCAST_BYTES = 64 << 20
+
 
 def words_of(text: Column) -> Column:
     """Words of a text, lower-cased A-Z; none for null."""
@@ -41,12 +43,11 @@ def shingle_hash(words: Column, at: Column, k: int) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Distinct windows: w (its words), len, items (identifiers that hold it)."""
+    """w (its words), len, item of every window of every item, once each."""
     words = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("ws")).filter(F.size("ws") > 0)
     size = F.least(F.size("ws"), F.lit(window))
     each = words.select("item", "ws", size.alias("len"), F.explode(F.sequence(F.lit(1), F.size("ws") - size + 1)).alias("at"))
-    each = each.select("item", "len", F.slice("ws", F.col("at"), F.col("len")).alias("w"))
-    return each.groupBy("w", "len").agg(F.collect_set("item").alias("items"))
+    return each.select("item", "len", F.slice("ws", F.col("at"), F.col("len")).alias("w")).distinct()
 
 
 def _positions(docs: DataFrame, k: int) -> DataFrame:
@@ -94,22 +95,27 @@ def _judged(
     """The rows of decontaminate(), each with th, the hash of its text."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     words = base.select("doc_id", F.xxhash64("t").alias("th"), words_of(F.col("t")).alias("ws"))
-    windows = stash(item_windows(items, item_id_col, item_text_col, window), "windows")
+    holding = stash(item_windows(items, item_id_col, item_text_col, window), "holding")
+    # Numbers given once and written: a window travels as its number, its items join in at the end.
+    windows = stash(holding.select("w", "len").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+    items_of = holding.filter("item is not null").join(windows, ["w", "len"]).select("wid", "item")
     lengths = sorted(r[0] for r in windows.select(F.least("len", F.lit(shingle))).distinct().collect())  # at most `shingle` values
     hits = None
     for k in lengths:
         of_k = windows.filter(F.col("len") >= k) if k == shingle else windows.filter(F.col("len") == k)
-        every = of_k.select("w", "len", "items", F.explode(F.sequence(F.lit(0), F.col("len") - k)).alias("off"))
+        every = of_k.select("w", "len", "wid", F.explode(F.sequence(F.lit(0), F.col("len") - k)).alias("off"))
         every = every.withColumn("h", shingle_hash(F.col("w"), F.col("off"), k))
         found = _matches(words, every, k, window, broadcast_rows)
         hits = found if hits is None else hits.union(found)
     counts = words.select("doc_id", "th", F.size("ws").cast("long").alias("n_words"))
     if hits is None:
-        hits = words.select("doc_id", "th", F.lit(0).alias("start"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items")).limit(0)
+        hits = words.select("doc_id", "th", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("wid")).limit(0)
+    hits = stash(hits, "hits")
     # Bounded by one document's own positions; sets, so repeated rows count once.
-    per_doc = hits.groupBy("doc_id", "th").agg(
-        F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    )
+    per_doc = hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"))
+    held = hits.select("doc_id", "th", "wid").distinct().join(items_of, "wid").select(F.col("doc_id").alias("_i"), F.col("th").alias("_h"), "item").distinct()
+    held = held.groupBy("_i", "_h").agg(F.array_sort(F.collect_list("item")).alias("items"))  # the answer asks for all of one document's
+    per_doc = per_doc.join(held, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("th").eqNullSafe(F.col("_h")), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
@@ -135,35 +141,49 @@ def _judged(
     )
 
 
+def _small(rows: DataFrame, words: Column, most: int) -> bool:
+    """Whether rows may be broadcast: by their number and by the bytes of their words."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(words)), F.lit(0))).first()
+    return n <= most and size <= BROADCAST_BYTES
+
+
 def _matches(words: DataFrame, every: DataFrame, k: int, window: int, broadcast_rows: int) -> DataFrame:
-    """doc_id, th, start, len, items of every verified occurrence of a window."""
+    """doc_id, th, start, len, wid of every verified occurrence of a window."""
     hashes = every.select("h").distinct()
-    small = hashes.count() <= broadcast_rows
-    hint = F.broadcast if small else (lambda df: df.hint("merge"))
-    counts = stash(_positions(words, k).select("h").join(hint(hashes), "h").groupBy("h").count(), "shingle-counts")
+    at = _positions(words, k)
+    if _small(hashes, F.lit(""), broadcast_rows):
+        counts = at.select("h").join(F.broadcast(hashes), "h").groupBy("h").count()
+    else:  # counted before they meet, so that a frequent shingle comes as few rows
+        counts = at.groupBy("h").count().join(hashes.hint("merge"), "h")
+    counts = stash(counts, "shingle-counts")
     # A window with a shingle that no document has can't occur; of the others the rarest shingle is the prefix.
-    rated = every.join(counts, "h", "left").groupBy("w", "len", "items").agg(
+    rated = every.join(counts, "h", "left").groupBy("w", "len", "wid").agg(
         F.min(F.coalesce("count", F.lit(0))).alias("least"), F.min_by("off", F.struct(F.coalesce("count", F.lit(0)), "off")).alias("off")
     )
-    prefix = rated.filter("least > 0").withColumn("h", shingle_hash(F.col("w"), F.col("off"), k)).select("h", "off", "w", "len", "items")
+    prefix = rated.filter("least > 0").withColumn("h", shingle_hash(F.col("w"), F.col("off"), k)).select("h", "off", "w", "len", "wid")
     prefix = stash(prefix, "prefixes")
     start = F.col("pos") - F.col("off")
-    at = _positions(words, k)
-    if prefix.count() <= broadcast_rows:
+    if _small(prefix, F.array_join("w", " "), broadcast_rows):
         found = at.join(F.broadcast(prefix), "h").withColumn("first", F.lit(0))
     else:
-        # Rows that move take along the words that a window around the shingle can have, not the document.
+        # Rows that move take along the words that a window around the shingle can have, not the document. A shingle
+        # that many documents have is a skewed key, which the merge join splits as it runs.
         first = F.greatest(F.lit(0), F.col("pos") - (window - k))
         at = at.select("doc_id", "th", "h", "pos", first.alias("first"), F.slice("ws", first + 1, F.lit(2 * window - k)).alias("ws"))
         found = at.join(prefix.hint("merge"), "h")
     end = F.size("ws") + F.col("first")
     found = found.filter((start >= 0) & (start + F.col("len") <= end))
     found = found.filter(F.slice("ws", start - F.col("first") + 1, F.col("len")) == F.col("w"))
-    return found.select("doc_id", "th", start.alias("start"), "len", "items")
+    return found.select("doc_id", "th", start.alias("start"), "len", "wid")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the contaminated ones, by identifier and text: other texts of the same identifier, or of none, stay."""
-    bad = _judged(docs, items, id_col, text_col, **how).filter("contaminated").select(F.col("doc_id").alias("_k"), F.col("th").alias("_t")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(bad["_k"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_t"])
-    return docs.join(bad, same, "left_anti").select(*docs.columns)
+    """docs without the contaminated ones, by identifier and text, with its own columns, whatever their names.
+
+    Other texts of the same identifier, or of none, stay; equal rows stay or go together.
+    Null texts and texts without words stay, and all stay where there are no items.
+    """
+    bad = _judged(docs, items, id_col, text_col, **how).filter("contaminated").select(F.col("doc_id").alias("k"), F.col("th").alias("h")).distinct()
+    k, h = unused(docs, "_k"), unused(docs, "_h")
+    own = docs.withColumns({k: F.col(id_col).cast("long"), h: F.xxhash64(F.col(text_col).cast("string"))})
+    return own.join(bad, own[k].eqNullSafe(bad["k"]) & (own[h] == bad["h"]), "left_anti").select(*docs.columns)

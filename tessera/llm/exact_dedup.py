@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stash
+from .common import shuffle_partitions, stash, unused
 
 RUN = "rng int, node int, sha binary, n_bytes long, check long, best long, n long"
 
@@ -71,12 +71,13 @@ def exact_groups(
     keep: str = "smallest",
     fan_in: int = 8,
     leaves: int | None = None,
-    ranges: int = 256,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are one group when SHA-256, byte length and a second 64-bit hash all agree.
-    keep: "smallest" or "largest" identifier of a group stays.
+    keep: "smallest" or "largest" identifier of a group stays. ranges: digest ranges, which
+    bound the tasks of the last round; by default four for each shuffle partition.
 
     Null text counts as empty. A null identifier never wins unless its group has no other;
     rows that repeat an identifier and a text are all marked kept when that identifier
@@ -87,19 +88,21 @@ def exact_groups(
     spark, largest = docs.sparkSession, keep == "largest"
     parts = shuffle_partitions(spark)
     leaves = leaves or max(fan_in, parts)
+    ranges = ranges or max(256, 4 * parts)
+    row = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()))  # rows without an identifier are spread, too
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).select(
         "doc_id",
         F.unhex(F.sha2("t", 256)).alias("sha"),
         F.octet_length("t").cast("long").alias("n_bytes"),
         F.xxhash64("t").alias("check"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(leaves)).cast("int").alias("node"),
+        F.pmod(row, F.lit(leaves)).cast("int").alias("node"),
     )
     hashed = stash(hashed, "digests")  # the texts are read and hashed once
     run = hashed.groupBy("node", "sha", "n_bytes", "check").agg(
         (F.max if largest else F.min)("doc_id").alias("best"), F.count(F.lit(1)).alias("n")
     )
-    run = run.select((F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long") % ranges).cast("int").alias("rng"), "node", "sha", "n_bytes", "check", "best", "n")
+    run = run.select((F.conv(F.hex(F.substring("sha", 1, 6)), 16, 10).cast("long") % ranges).cast("int").alias("rng"), "node", "sha", "n_bytes", "check", "best", "n")
     first = stash(run, "runs")
     level, nodes = first, leaves
     while nodes > 1:
@@ -126,10 +129,13 @@ def exact_groups(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the copies, with its own columns; of rows that repeat an identifier and a text one stays."""
-    kept = exact_groups(docs, id_col, text_col, **how).filter("kept").select(
-        F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_h")
-    ).distinct()
-    own = docs.withColumn("_h", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    joined = own.join(kept, (own["_h"] == kept["_h"]) & own[id_col].cast("long").eqNullSafe(kept["_k"]), "left_semi")
-    return joined.dropDuplicates([id_col, "_h"]).select(*docs.columns)
+    """docs without the copies, with its own columns, whatever their names.
+
+    Of rows that repeat an identifier and a text one stays. Null texts and empty ones are
+    copies of each other. Of a group without any identifier one row stays.
+    """
+    kept = exact_groups(docs, id_col, text_col, **how).filter("kept").select(F.col("doc_id").alias("k"), F.col("text_sha256").alias("h")).distinct()
+    k, h = unused(docs, "_k"), unused(docs, "_h")
+    own = docs.withColumns({k: F.col(id_col).cast("long"), h: F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)})
+    joined = own.join(kept, (own[h] == kept["h"]) & own[k].eqNullSafe(kept["k"]), "left_semi")
+    return joined.dropDuplicates([k, h]).select(*docs.columns)

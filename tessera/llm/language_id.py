@@ -2,12 +2,15 @@
 
 The network is trained in numpy by backpropagation through time on a bounded sample of
 labelled documents, labels every byte position and pools the position probabilities over
-the whole text. A text is read in segments of `span` bytes, each from a zero state, so
-segments of many documents run side by side as the rows of one matrix.
+the whole text. Texts are laid end to end in lanes that run side by side as the rows of one
+matrix; a state is carried through a text and starts anew with the next one. Only a text
+over `piece` bytes is read in several lanes, each with `warm` bytes more on either side, by
+which its states are settled before they count.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-BATCH_BYTES = 1 << 18
+GROUP_BYTES = 1 << 20  # read side by side at a time
+LANES = 1024
+PIECE, WARM = 1024, 32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -65,19 +70,71 @@ class ByteGru:
             states[t] = state
         return states, gates
 
-    def probabilities(self, rows: np.ndarray) -> np.ndarray:
-        """Label probabilities (lanes, span, n) of uint8 rows (lanes, span)."""
-        h = self.hidden
-        fwd, _ = self._direction(rows, "f")
-        logits = fwd.reshape(-1, h) @ self.params["v"][:h]
-        del fwd
-        bwd, _ = self._direction(rows, "b")
-        logits = logits.reshape(self.span, len(rows), -1) + (bwd.reshape(-1, h) @ self.params["v"][h:]).reshape(self.span, len(rows), -1)[::-1]
-        logits += self.params["c"]
-        logits -= logits.max(axis=2, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
-        return logits.transpose(1, 0, 2)
+    def _scan(self, grid: np.ndarray, fresh: list[np.ndarray], d: str, logits: np.ndarray) -> None:
+        """Adds one direction's part to logits (steps, lanes, n); fresh[t] are the lanes whose state starts anew at t."""
+        h, x, u = self.hidden, self.params[f"x{d}"], self.params[f"u{d}"]
+        v = self.params["v"][:h] if d == "f" else self.params["v"][h:]
+        half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(np.float32)
+        # A gate is (1 + tanh(a / 2)) / 2: halved here; its other half is halved where it is used.
+        x, u = x * half, u * np.r_[np.full(2 * h, 0.5), np.full(h, 0.5)].astype(np.float32)
+        state = np.zeros((grid.shape[1], h), np.float32)
+        both = np.empty((grid.shape[1], 2 * h), np.float32)
+        for t in range(len(grid)) if d == "f" else range(len(grid) - 1, -1, -1):
+            if len(fresh[t]):
+                state[fresh[t]] = 0
+            step = x.take(grid[t], axis=0)
+            rec = state @ u
+            zr = np.add(step[:, : 2 * h], rec[:, : 2 * h], out=both)  # of half the sums; the tables are halved
+            np.tanh(zr, out=zr)
+            zr += 1
+            n = np.multiply(rec[:, 2 * h :], zr[:, h:])
+            n += step[:, 2 * h :]
+            np.tanh(n, out=n)
+            state -= n
+            state *= zr[:, :h]
+            state *= 0.5
+            state += n
+            logits[t] += state @ v
+
+    def pooled(self, texts: list[bytes], lanes: int = LANES, piece: int = PIECE, warm: int = WARM) -> np.ndarray:
+        """Sum of the label probabilities over all positions of each text: (texts, n)."""
+        cuts = []  # text, first byte read, end of those read, first that counts, end of those that count
+        for i, raw in enumerate(texts):
+            for s in range(0, len(raw), piece):
+                e = min(len(raw), s + piece)
+                cuts.append((i, max(0, s - warm), min(len(raw), e + warm), s, e))
+        total = np.zeros((len(texts), len(self.labels)))
+        if not cuts:
+            return total
+        # Longest first, each to the lane with the least so far.
+        heap = [(0, lane) for lane in range(min(lanes, len(cuts)))]
+        places = []
+        for c in sorted(cuts, key=lambda c: c[1] - c[2]):
+            at, lane = heapq.heappop(heap)
+            places.append((at, lane, c))
+            heapq.heappush(heap, (at + c[2] - c[1], lane))
+        steps = max(at for at, _ in heap)
+        grid = np.zeros((steps, len(heap)), np.uint8)
+        begin, finish = [[] for _ in range(steps)], [[] for _ in range(steps)]
+        for at, lane, (i, a, z, _, _) in places:
+            grid[at : at + z - a, lane] = np.frombuffer(texts[i], np.uint8)[a:z]
+            begin[at].append(lane)
+            finish[at + z - a - 1].append(lane)
+        logits = np.empty((steps, len(heap), len(self.labels)), np.float32)
+        logits[:] = self.params["c"]
+        for fresh, d in ((begin, "f"), (finish, "b")):
+            self._scan(grid, fresh, d, logits)
+        sums = np.zeros((len(self.labels), steps + 1, len(heap)))  # of the probabilities before each step, label by label
+        for s in range(0, steps, 256):
+            part = logits[s : s + 256].transpose(2, 0, 1).copy()
+            part -= part.max(axis=0)
+            np.exp(part, out=part)
+            part /= part.sum(axis=0)
+            np.cumsum(part, axis=1, out=sums[:, s + 1 : s + 1 + part.shape[1]])
+            sums[:, s + 1 : s + 1 + part.shape[1]] += sums[:, s : s + 1]
+        for at, lane, (i, a, _, s, e) in places:
+            total[i] += sums[:, at + e - a, lane] - sums[:, at + s - a, lane]
+        return total
 
     def gradients(self, rows: np.ndarray, mask: np.ndarray, want: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over masked positions and its gradients, by backpropagation through time."""
@@ -145,34 +202,34 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "lang",
-    max_docs: int = 4000,
-    cuts: int = 2,
-    cut_chars: int = 240,
+    max_docs: int = 1500,
+    max_bytes: int = 16 << 20,
     hidden: int = 16,
     steps: int = 400,
 ) -> ByteGru | None:
-    """Fit on at most max_docs documents (those with the smallest hash), `cuts` passages of cut_chars characters of each.
+    """Fit on whole texts of at most max_docs labelled documents, those with the smallest hash.
 
-    The bound is what is collected: max_docs * cuts * cut_chars characters. None if there is no labelled text.
+    Of these, in order, as many are taken as have max_bytes bytes together: the bound of
+    what is collected. Rows of a training batch are segments drawn from all over the
+    texts. None if there is no labelled text.
     """
-    labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("y")).filter(
+    labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("y")).filter(
         F.col("y").isNotNull() & (F.length(F.trim("t")) > 0)
     )
     order = F.xxhash64(F.col("i").cast("string"), F.lit("train"))
-    chosen = labelled.select(order.alias("o")).orderBy("o").limit(max_docs)
-    length = F.char_length("t")
-    at = [F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(k)), F.greatest(F.lit(1), length - cut_chars)).cast("int") + 1 for k in range(cuts)]
-    passages = (
-        labelled.withColumn("o", order)
-        .join(F.broadcast(chosen.distinct()), "o", "left_semi")
-        .select("o", "y", F.explode(F.array(*[F.substr("t", a, F.lit(cut_chars)) for a in at])).alias("p"))
-    )
-    rows = passages.orderBy("o", "p").limit(max_docs * cuts).collect()
-    if not rows:
+    sizes = labelled.select(order.alias("o"), F.octet_length("t").alias("n")).orderBy("o", "n").limit(max_docs)
+    upto, last = 0, None
+    for r in sizes.collect():  # max_docs rows of two numbers
+        upto += r["n"]
+        if upto > max_bytes and last is not None:
+            break
+        last = r["o"]
+    if last is None:
         return None
+    rows = labelled.withColumn("o", order).filter(F.col("o") <= last).select("o", "y", "t").orderBy("o", "t").limit(max_docs).collect()
     model = ByteGru(sorted({r["y"] for r in rows}), hidden=hidden).start()
     index = {y: i for i, y in enumerate(model.labels)}
-    parts = [(*segments(r["p"].encode(), model.span), index[r["y"]]) for r in rows if has_letter(r["p"])]
+    parts = [(*segments(r["t"].encode(), model.span), index[r["y"]]) for r in rows if has_letter(r["t"])]
     if not parts:
         return None
     want = np.concatenate([np.full(len(a), y) for a, _, y in parts])
@@ -184,37 +241,20 @@ def _score(model: ByteGru | None):
         for b in batches:
             n = b.num_rows
             labels = model.labels if model else []
-            total, count = np.zeros((n, max(1, len(labels)))), np.zeros(n)
-            known = np.zeros(n, bool)
-            rows, masks, owner, size = [], [], [], 0
-
-            def flush():
-                nonlocal rows, masks, owner, size
-                if rows:
-                    m = np.concatenate(masks)
-                    prob = model.probabilities(np.concatenate(rows))
-                    per = np.where(m[:, :, None], prob, 0).sum(axis=1)
-                    own = np.concatenate(owner)
-                    np.add.at(total, own, per)
-                    np.add.at(count, own, m.sum(axis=1))
-                rows, masks, owner, size = [], [], [], 0
-
+            mean, known = np.zeros((n, max(1, len(labels)))), np.zeros(n, bool)
+            held, at, size = [], [], 0
             for i, t in enumerate(b.column(1)):
                 text = t.as_py()
                 known[i] = model is not None and has_letter(text)
-                if not known[i]:
-                    continue
-                raw = text.encode()
-                for s in range(0, len(raw), BATCH_BYTES):
-                    a, m = segments(raw[s : s + BATCH_BYTES], model.span)
-                    rows.append(a)
-                    masks.append(m)
-                    owner.append(np.full(len(a), i))
-                    size += a.size
-                    if size >= BATCH_BYTES:
-                        flush()
-            flush()
-            mean = total / np.maximum(count, 1)[:, None]
+                if known[i]:
+                    held.append(text.encode())
+                    at.append(i)
+                    size += len(held[-1])
+                if size >= GROUP_BYTES:
+                    mean[at] = model.pooled(held) / np.array([[len(x)] for x in held])
+                    held, at, size = [], [], 0
+            if held:
+                mean[at] = model.pooled(held) / np.array([[len(x)] for x in held])
             best = mean.argmax(axis=1)
             pred = [labels[k] if ok else UNKNOWN for k, ok in zip(best, known)]
             score = np.where(known, np.clip(mean[np.arange(n), best], 0, 1), 0.0)
@@ -242,7 +282,9 @@ def held_out(id_col: str, folds: int, fold: int):
 def keep_known(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """docs without those of no known language: `und`, or a score under `least`.
 
-    The answer travels in the same Arrow pass as the rows, so repeated identifiers stay apart.
+    The answer travels in the same Arrow pass as the rows, so repeated identifiers, or none,
+    stay apart and equal rows stay or go together. Null and empty texts go, and so does
+    everything where nothing could be learned. Columns are those of docs, whatever their names.
     """
     scorer = _score(model)
 

@@ -1,10 +1,12 @@
-"""Licence scans: sparse TF-IDF cosine of lines to templates, then inheritance along paths.
+"""Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along paths.
 
-DataFrame functions only. Every line of a text is a possible header. Document frequencies
+DataFrame functions only. A text is compared by its lines, its paragraphs (lines between
+lines without a word, as in a comment), its blocks (paragraphs between empty lines, as a
+whole header) and, if its name is that of a licence file, as a whole. Document frequencies
 of the templates' words are counted over all texts; a word no template has weighs as one
-that was never seen. A line can reach the threshold with a template only if it has one
+that was never seen. A part can reach the threshold with a template only if it has one
 of the template's prefix words: the heaviest ones, until the rest of the vector is shorter
-than the threshold. Only such lines are split into words and joined.
+than the threshold. Only such texts are split into parts, and only such parts joined.
 
 A licence file (by its name) speaks for its directory. A file without a licence of its own
 inherits from the nearest directory above that has one. That is settled once per directory,
@@ -13,41 +15,37 @@ so files meet their directory's answer in one equi-join.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stash
+from .license_texts import TEMPLATES
 
-#: Short statements as they stand in file headers and licence files.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "Released into the public domain under CC0 1.0.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": "Released under the ISC License.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, version 2.0.",
-}
-LICENSE_NAME = r"(?i)^(?:licen[cs]e|copying|notice)(?:[._-].*)?$"
+LICENSE_NAME = r"(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:[._-].*)?$"
 NOT_WORD = r"[^a-z0-9]+"
+#: What lies between paragraphs, and between blocks.
+BARE_LINES = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+EMPTY_LINES = r"\n(?:[ \t\r\f\x0B]*\n)+"
+BROADCAST_TERMS = 100_000
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD, -1), lambda w: w != "")
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """name, token, tf; the templates are a fixed list of the caller's, so they may be literals of the plan."""
-    rows = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("t")) for k, v in templates.items()])
-    each = spark.range(1).select(F.explode(rows).alias("x")).select("x.name", F.explode(_words(F.col("x.t"))).alias("token"))
-    return each.groupBy("name", "token").agg(F.count(F.lit(1)).alias("tf"))
+def parts(text: Column, whole: Column) -> Column:
+    """Lines, paragraphs and blocks of several lines, and the text itself where `whole` holds."""
+    some = lambda cut, has: F.filter(F.split(text, cut, -1), lambda x: x.rlike(has))
+    nothing = F.array().cast("array<string>")
+    return F.concat(F.split(text, "\n", -1), some(BARE_LINES, r"\n"), some(EMPTY_LINES, BARE_LINES), F.when(whole, F.array(text)).otherwise(nothing))
+
+
+def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
+    """name, v (number of the text), token, tf; the templates are a fixed list of the caller's, so they may be literals of the plan."""
+    rows = [F.struct(F.lit(k).alias("name"), F.lit(i).alias("v"), F.lit(t).alias("t")) for k, texts in templates.items() for i, t in enumerate(texts)]
+    each = spark.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.name", "x.v", F.explode(_words(F.col("x.t"))).alias("token"))
+    return each.groupBy("name", "v", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def directory(path: Column) -> Column:
@@ -59,11 +57,12 @@ def find_licenses(
     files: DataFrame,
     path_col: str = "path",
     text_col: str = "text",
-    templates: dict[str, str] | None = None,
+    templates: dict[str, tuple[str, ...]] | None = None,
     threshold: float = 0.8,
 ) -> DataFrame:
     """One row per input row: path, license, score, origin ('own', 'inherited', 'none'), source_path.
 
+    templates: several texts for each licence; by default those of license_texts.
     Of equal scores the template first by name wins; of several licence files in one
     directory the one first by path. Null text has no licence of its own, a null path none
     to inherit. Rows that repeat a path are told apart by their texts. Empty input gives no
@@ -79,36 +78,38 @@ def find_licenses(
     counted = stash(counted, "license-df")
     n = counted.filter("token = ''").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
     idf = F.log((1.0 + F.col("n")) / (1.0 + F.coalesce("count", F.lit(0)))) + 1.0
-    rated = terms.join(counted, "token", "left").crossJoin(F.broadcast(n)).select("name", "token", "tf", idf.alias("idf"), (F.log(1.0 + F.col("n")) + 1.0).alias("unseen"))
+    rated = terms.join(counted, "token", "left").crossJoin(F.broadcast(n)).select("name", "v", "token", "tf", idf.alias("idf"), (F.log(1.0 + F.col("n")) + 1.0).alias("unseen"))
     rated = rated.withColumn("w", F.col("tf") * F.col("idf"))
-    rated = rated.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("name"))))
-    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("name").orderBy("w", F.desc("token")).rowsBetween(W.unboundedPreceding, 0)))
+    rated = rated.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("name", "v"))))
+    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("name", "v").orderBy("w", F.desc("token")).rowsBetween(W.unboundedPreceding, 0)))
     rated = stash(rated.withColumn("prefix", rest >= threshold), "license-terms")
-    prefix = sorted({r[0] for r in rated.filter("prefix").select("token").collect()})
+    prefix = F.array(*[F.lit(r[0]) for r in rated.filter("prefix").select("token").distinct().orderBy("token").collect()])
     unseen = rated.select("unseen").limit(1)
-    some = "(?i)(?:" + "|".join(map(re.escape, prefix)) + ")"
-    lines = own.filter(F.col("t").rlike(some)).select("path", "th", F.posexplode(F.split("t", "\n")).alias("line", "text"))
-    lines = lines.filter(F.col("text").rlike(some)).withColumn("ws", _words(F.col("text")))
-    lines = lines.filter(F.arrays_overlap("ws", F.array(*map(F.lit, prefix))))
-    words = lines.select("path", "th", "line", F.explode("ws").alias("token")).groupBy("path", "th", "line", "token").agg(F.count(F.lit(1)).alias("n"))
+    few = rated.count() <= BROADCAST_TERMS
+    small = F.broadcast if few else (lambda df: df)
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
+    some = own.filter(F.arrays_overlap(F.split(F.lower("t"), NOT_WORD), prefix))
+    units = some.select("path", "th", F.posexplode(parts(F.col("t"), F.coalesce(base.rlike(LICENSE_NAME), F.lit(False)))).alias("unit", "text"))
+    units = units.select("path", "th", "unit", _words(F.col("text")).alias("ws")).filter(F.arrays_overlap("ws", prefix))
+    key = ["path", "th", "unit"]
+    words = units.select(*key, F.explode("ws").alias("token")).groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"))
     weights = rated.select("token", "idf").distinct()
-    words = words.join(F.broadcast(weights), "token", "left").crossJoin(F.broadcast(unseen))
+    words = words.join(small(weights), "token", "left").crossJoin(F.broadcast(unseen))
     words = words.withColumn("x", F.col("n") * F.coalesce("idf", "unseen"))
-    length = words.groupBy("path", "th", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    dots = words.join(F.broadcast(rated.select("name", "token", "w")), "token").groupBy("path", "th", "line", "name").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    length = words.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    dots = words.join(small(rated.select("name", "v", "token", "w")), "token").groupBy(*key, "name", "v").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     d, e = dots.alias("d"), length.alias("e")
-    cosine = d.join(e, [F.expr(f"d.{c} <=> e.{c}") for c in ("path", "th", "line")]).select("d.path", "d.th", "d.name", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
+    cosine = d.join(e, [F.expr(f"d.{c} <=> e.{c}") for c in key]).select("d.path", "d.th", "d.name", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
     best = cosine.filter(F.col("score") >= threshold).groupBy("path", "th").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b")
     )
     best = best.select(F.col("path").alias("p2"), F.col("th").alias("th2"), F.col("b.name").alias("license"), (-F.col("b.s")).alias("score"))
     mine = own.select("path", "th").join(best, F.col("path").eqNullSafe(F.col("p2")) & (F.col("th") == F.col("th2")), "left")
     mine = stash(mine.select("path", directory(F.col("path")).alias("dir"), "license", "score"), "license-own")
-    base = F.regexp_extract("path", r"([^/]*)$", 1)
     granted = mine.filter(F.col("license").isNotNull() & base.rlike(LICENSE_NAME)).groupBy("dir").agg(F.min(F.struct("path", "license", "score")).alias("g"))
     above = mine.filter("license is null and dir is not null").select("dir").distinct()
-    parts = F.split("dir", "/")
-    above = above.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("up"))
+    steps = F.split("dir", "/")
+    above = above.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("up"))
     near = above.distinct().join(granted.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by("g", F.length("up")).alias("g"))
     return mine.join(near.withColumnRenamed("dir", "d2"), (F.col("dir") == F.col("d2")) & F.col("license").isNull(), "left").select(
         "path",

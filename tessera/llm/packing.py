@@ -11,6 +11,7 @@ task holds the ids of open windows only.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 MAX_OPEN = 2048
+#: The shape of tokenizer for which WordTokenizer's short way holds; any other goes through the tokenizer itself.
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHE_WORDS = 200_000
 #: Texts with any of these go through the tokenizer itself, as a whole.
 ODD_ASCII = re.compile(r"[\x1c-\x1f]")
@@ -36,19 +40,41 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(others)}
 
 
+def splits_at_white_space(told: dict) -> bool:
+    """Whether a tokenizer file has the shape that WordTokenizer takes the short way for."""
+    norm, pre, model = (told.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps, cuts = norm.get("normalizers", []), pre.get("pretokenizers", [])
+    return (
+        tuple(n["type"] for n in steps) == NORMALIZERS
+        and steps[1]["pattern"] == {"Regex": r"\s+"}
+        and steps[1]["content"] == " "
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": SPLIT}
+        and cuts[0]["invert"]
+        and cuts[0]["behavior"] == "Removed"
+        and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+        and model.get("type") == "BPE"
+    )
+
+
 class WordTokenizer:
     """Ids of a word-end BPE tokenizer file, by white-space chunks with bounded caches.
 
     Holds for tokenizers whose normalizer only composes, folds white space and lower-cases,
     and whose pre-tokenizer splits letters, single digits and runs of other marks: no token
     then crosses white space. Other characters than those of ODD are their own composed
-    form, so only lower-casing is left to do.
+    form, so only lower-casing is left to do. A file of another shape, or a text with one
+    of its added tokens, goes through the tokenizer itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.short_way = splits_at_white_space(told)
+        self.added = [t["content"] for t in told.get("added_tokens", [])]
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.chunks: dict[str, bytes] = {}
@@ -57,7 +83,8 @@ class WordTokenizer:
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            # Only printable ASCII stands for itself; control characters have letters of their own.
+            letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
             ids = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
             self.words[word] = ids
         return ids
@@ -71,7 +98,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
-        if (ODD_ASCII if text.isascii() else ODD).search(text) or "<|" in text:
+        if not self.short_way or (ODD_ASCII if text.isascii() else ODD).search(text) or any(a in text for a in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         chunks = text.lower().split()
         try:
@@ -94,8 +121,8 @@ def tokenizer(path: str) -> WordTokenizer:
 class Packer:
     """Online packing; place() takes (doc_id, ids) and finished rows are in self.rows."""
 
-    def __init__(self, window: int, first_sequence: int):
-        self.window, self.next = window, first_sequence
+    def __init__(self, window: int, first_sequence: int, max_open: int = MAX_OPEN):
+        self.window, self.next, self.max_open = window, first_sequence, max_open
         self.count = np.zeros(window + 1, np.int64)  # open windows by fill level
         self.open: dict[int, list[list]] = {}  # by level: windows, each a list of pieces
         self.n_open, self.rows = 0, []
@@ -139,7 +166,7 @@ class Packer:
             self.open.setdefault(level + size, []).append(pieces)
             count[level + size] += 1
             self.n_open += 1
-            if self.n_open >= MAX_OPEN:
+            if self.n_open >= self.max_open:
                 self.drain(last=False)
 
     def drain(self, last: bool = True) -> None:
@@ -188,13 +215,13 @@ class Packer:
             fill -= size
 
 
-def _pack(path: str, window: int, end_id: int):
+def _pack(path: str, window: int, end_id: int, max_open: int):
     def run(batches):
         from pyspark import TaskContext
 
         tok = tokenizer(path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        packer = Packer(window, TaskContext.get().partitionId() << 32)
+        packer = Packer(window, TaskContext.get().partitionId() << 32, max_open)
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 packer.place(doc, tok.encode(text.as_py() or "") + end)
@@ -219,16 +246,18 @@ def pack(
     text_col: str = "text",
     window: int = 4096,
     end_id: int = 2,
+    max_open: int = MAX_OPEN,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document ends with end_id. A sequence is full or has a power of two of tokens, so
-    none is padded. sequence_id is the task's number times 2**32 plus a count.
+    none is padded. sequence_id is the task's number times 2**32 plus a count. max_open is
+    how many windows a task leaves open before it drains them.
 
     Null text counts as empty: one piece with end_id alone. Rows that repeat an identifier,
     or have none, are packed like others. Empty input gives no rows. Other columns are
     ignored, whatever their names.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(
-        _pack(tokenizer_path, window, end_id), SCHEMA
+        _pack(tokenizer_path, window, end_id, max_open), SCHEMA
     )

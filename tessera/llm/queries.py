@@ -66,7 +66,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out("doc_id", 5, 0)
-    model = language_id.train(docs.filter(~out), hidden=12)
+    model = language_id.train(docs.filter(~out))
     found = language_id.identify(docs, model)
     return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
@@ -104,28 +104,30 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
-_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+_TEMPLATES = ", ".join("('{}', {}, '{}')".format(k, i, t.replace("'", "''")) for k, texts in licenses.TEMPLATES.items() for i, t in enumerate(texts))
 
 OP7_SQL = rf"""
 WITH f AS (SELECT concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 10000 AS VARCHAR),
                             CASE WHEN doc_id % 10000 <> 0 THEN CAST(doc_id // 100 AS VARCHAR) END,
                             CASE WHEN doc_id % 100 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path,
                   coalesce(text, '') AS t FROM documents),
-     tpl(name, t) AS (VALUES {_TEMPLATES}),
-     terms AS (SELECT name, token, count(*) AS tf FROM (SELECT name, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS token FROM tpl)
+     tpl(name, v, t) AS (VALUES {_TEMPLATES}),
+     terms AS (SELECT name, v, token, count(*) AS tf FROM (SELECT name, v, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS token FROM tpl)
                GROUP BY ALL),
      n AS (SELECT count(*) AS n FROM f),
      df AS (SELECT token, count(*) AS c FROM (SELECT DISTINCT path, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS token FROM f)
             WHERE token IN (SELECT token FROM terms) GROUP BY token),
      idf AS (SELECT DISTINCT token, ln((1.0 + n) / (1.0 + coalesce(c, 0))) + 1.0 AS idf FROM terms LEFT JOIN df USING (token), n),
-     w AS (SELECT name, token, tf * idf AS w FROM terms JOIN idf USING (token)),
-     norm AS (SELECT name, sqrt(sum(w * w)) AS norm FROM w GROUP BY name),
-     lines AS (SELECT path, i, regexp_extract_all(lower(ls[i]), '[a-z0-9]+') AS ws
-               FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, string_split(t, chr(10)) AS ls FROM f))),
+     w AS (SELECT name, v, token, tf * idf AS w FROM terms JOIN idf USING (token)),
+     norm AS (SELECT name, v, sqrt(sum(w * w)) AS norm FROM w GROUP BY name, v),
+     parts AS (SELECT path, list_concat(string_split(t, chr(10)), list_filter(regexp_split_to_array(t, '{licenses.BARE_LINES}'), lambda x: contains(x, chr(10))),
+                                        list_filter(regexp_split_to_array(t, '{licenses.EMPTY_LINES}'), lambda x: regexp_matches(x, '{licenses.BARE_LINES}')),
+                                        CASE WHEN regexp_matches(path, '(^|/)LICENSE-[^/]*$') THEN [t] ELSE [] END) AS ls FROM f),
+     lines AS (SELECT path, i, regexp_extract_all(lower(ls[i]), '[a-z0-9]+') AS ws FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i FROM parts)),
      lt AS (SELECT path, i, token, count(*) AS c FROM (SELECT path, i, unnest(ws) AS token FROM lines) GROUP BY ALL),
      lx AS (SELECT path, i, token, c * coalesce(idf, (SELECT ln(1.0 + n) + 1.0 FROM n)) AS x FROM lt LEFT JOIN idf USING (token)),
      len AS (SELECT path, i, sqrt(sum(x * x)) AS length FROM lx GROUP BY ALL),
-     dot AS (SELECT path, i, name, sum(x * w / norm) AS dot FROM lx JOIN w USING (token) JOIN norm USING (name) GROUP BY ALL),
+     dot AS (SELECT path, i, name, v, sum(x * w / norm) AS dot FROM lx JOIN w USING (token) JOIN norm USING (name, v) GROUP BY ALL),
      cosine AS (SELECT path, name, round(dot / length, 6) AS score FROM dot JOIN len USING (path, i)),
      own AS (SELECT path, name AS license, score FROM cosine WHERE score >= 0.8
              QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, name) = 1),

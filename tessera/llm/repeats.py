@@ -17,7 +17,8 @@ with a smaller identifier, or before in the same one.
    refinement with ranks that double in depth), neighbours' common prefixes follow by
    Kasai's rule, and runs of `length` or more are equal windows: all but the earliest go.
    Windows that are first in their shard of a dealt-out anchor are merged across shards:
-   sorted by digest, and each digest's run is found by binary search.
+   each shard brings a sorted run of window digests (128 bits), and its windows are found
+   among those merged before by binary search.
 4. Removed ranges meet the texts again by document.
 """
 
@@ -258,7 +259,8 @@ def _occurrences(length: int, gram: int, words, hot: dict[int, int]):
     return run
 
 
-RANGES = "k long, th long, start long, stop long, digest binary"
+RANGES = "k long, th long, start long, stop long, digest binary, shard int"
+SLICES = 64  # a merging task takes its digests in so many slices, one at a time
 
 
 def _shard(length: int, hot: dict[int, int]):
@@ -286,7 +288,7 @@ def _shard(length: int, hot: dict[int, int]):
         again = np.r_[False, ~key[1:] & (k[1:] == k[:-1]) & (th[1:] == th[:-1]) & (lo[1:] == lo[:-1])]  # a repeated row
         rest = np.flatnonzero(~key & ~again)
         if len(rest):
-            yield out(k[rest], th[rest], lo[rest], lo[rest] + n[rest] + length - 1, None)
+            yield out(k[rest], th[rest], lo[rest], lo[rest] + n[rest] + length - 1)
         firsts = np.flatnonzero(key)
         with_bytes = np.flatnonzero(np.asarray(ctx.is_valid()))
         bytes_at = with_bytes[np.searchsorted(with_bytes, firsts)]  # a context has its bytes somewhere in its run
@@ -310,7 +312,7 @@ def _shard(length: int, hot: dict[int, int]):
             rank[ids] = np.cumsum(ids_new)
             flags = repeated_windows(raw, rank, lo[rows], length)
             found = [[], [], [], []]
-            wait = [[], [], [], [], []]
+            wait = [[], [], [], [], [], []]
             for r, f, text, is_dealt in zip(rows.tolist(), flags, raw, dealt[part]):
                 edge = np.flatnonzero(np.diff(np.r_[0, f.view(np.int8), 0]))
                 for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):
@@ -318,35 +320,63 @@ def _shard(length: int, hot: dict[int, int]):
                         col.append(v)
                 if is_dealt:
                     for j in np.flatnonzero(~f).tolist():
-                        for col, v in zip(wait, (k[r], th[r], lo[r] + j, lo[r] + j + length, xxhash.xxh3_128_digest(text[j : j + length]))):
+                        for col, v in zip(wait, (k[r], th[r], lo[r] + j, lo[r] + j + length, xxhash.xxh3_128_digest(text[j : j + length]), salt[r])):
                             col.append(v)
             if found[0]:
-                yield out(*map(np.array, found), None)
+                yield out(*map(np.array, found))
             if wait[0]:
-                yield out(*map(np.array, wait[:4]), wait[4])
+                yield out(*map(np.array, wait[:4]), *wait[4:])
 
-    def out(k, th, a, z, digest):
+    def out(k, th, a, z, digest=None, shard=None):
         d = pa.array(digest, pa.binary()) if digest is not None else pa.nulls(len(k), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, th, a, z)] + [d], names=["k", "th", "start", "stop", "digest"])
+        s = pa.array(np.array(shard, np.int32)) if shard is not None else pa.nulls(len(k), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, th, a, z)] + [d, s], names=["k", "th", "start", "stop", "digest", "shard"])
 
     return run
 
 
 def _merge(batches):
-    """Windows sorted by (digest, k, th, start): all but the first of each digest are removed."""
-    last = None
+    """Rows sorted by (slice, shard, digest) -> the windows that also stand earlier, in another shard."""
+    held = None
     for b in batches:
-        if not b.num_rows:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        if not t.num_rows:
             continue
-        d = np.array(b.column(4).to_pylist(), dtype="S16")
-        uniq = np.unique(d)
-        first = np.searchsorted(d, uniq)  # binary search of each digest's run
-        gone = np.ones(len(d), bool)
-        gone[first] = False
-        if last is not None and d[0] == last:
-            gone[0] = True
-        last = d[-1]
-        yield b.filter(pa.array(gone))
+        at = t["slice"].to_numpy()
+        cut = int(np.searchsorted(at, at[-1]))
+        held = t.slice(cut)
+        if cut:
+            yield from _later(t.slice(0, cut))
+    if held is not None:
+        yield from _later(held)
+
+
+def _later(t: pa.Table):
+    """Merges the shards' runs slice by slice; a window found among those merged before loses to the earlier of the two."""
+    t = t.combine_chunks()
+    digest = np.array(t["digest"].to_pylist(), dtype="S16")
+    k, th, start = (t[c].to_numpy() for c in ("k", "th", "start"))
+    place = np.empty(len(k), np.int64)
+    place[np.lexsort((start, th, k))] = np.arange(len(k))
+    part, shard = t["slice"].to_numpy(), t["shard"].to_numpy()
+    runs = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (shard[1:] != shard[:-1]), True])
+    gone = np.zeros(len(k), bool)
+    merged = np.empty(0, digest.dtype)
+    lead = np.empty(0, np.int64)  # the row that holds each merged digest first
+    for i, (s, e) in enumerate(zip(runs, runs[1:])):
+        if i and part[s] != part[runs[i - 1]]:
+            merged, lead = merged[:0], lead[:0]
+        at = np.searchsorted(merged, digest[s:e])
+        known = np.flatnonzero((at < len(merged)) & (merged[np.minimum(at, len(merged) - 1)] == digest[s:e])) if len(merged) else np.empty(0, np.int64)
+        old, new = lead[at[known]], s + known
+        first = place[new] < place[old]
+        gone[np.where(first, old, new)] = True
+        lead[at[known]] = np.where(first, new, old)
+        fresh = np.setdiff1d(np.arange(e - s), known)
+        merged, lead = np.insert(merged, at[fresh], digest[s:e][fresh]), np.insert(lead, at[fresh], s + fresh)
+    left = t.select([c.split()[0] for c in RANGES.split(", ")]).filter(pa.array(gone))
+    yield from left.to_batches()
 
 
 def _remove(batches):
@@ -382,8 +412,8 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    hot_rows: an anchor with more occurrences is dealt over several shards; by default four
-    times as many as a shuffle partition has on average. bloom_bits: the filter's size, a
+    hot_rows: an anchor with more occurrences is dealt over several shards; by default a
+    quarter of what a shuffle partition has on average. bloom_bits: the filter's size, a
     power of two; it is used for up to an eighth as many repeated anchors.
 
     Null text counts as empty; a null identifier comes before all others. Rows with one
@@ -398,8 +428,8 @@ def remove_repeats(
     counts = own.mapInArrow(_count(length, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     repeated = stash(counts.filter("n > 1"), "anchors")
     total, distinct = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    limit = hot_rows or max(10_000, 4 * total // parts)
-    # No more than total / limit anchors can have so many occurrences: a few times the partitions at most.
+    limit = hot_rows or max(1_000, total // (4 * parts))
+    # No more than total / limit anchors can have so many occurrences: four times the partitions at most.
     hot = {r["h"]: int(-(-r["n"] // limit)) for r in repeated.filter(F.col("n") > limit).collect()}
     if distinct <= bloom_bits // 8:
         words = spark.sparkContext.broadcast(bloom(repeated, bloom_bits))
@@ -416,7 +446,8 @@ def remove_repeats(
     )
     if hot:
         ranges = stash(ranges, "ranges")
-        late = ranges.filter("digest is not null").repartition(parts, "digest").sortWithinPartitions("digest", "k", "th", "start")
+        late = ranges.filter("digest is not null").withColumn("slice", F.pmod(F.xxhash64("digest"), F.lit(SLICES)))
+        late = late.repartition(parts, "digest").sortWithinPartitions("slice", "shard", "digest")
         ranges = ranges.filter("digest is null").union(late.mapInArrow(_merge, RANGES))
     per_doc = ranges.groupBy("k", "th").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))  # of one document's own text
     per_doc = per_doc.withColumnsRenamed({"k": "k2", "th": "th2"})

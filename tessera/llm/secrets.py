@@ -8,6 +8,8 @@ which one step changes in two places, so a candidate is read once whatever the w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,13 +21,14 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # a shorter run after AKIA holds no longer one, s
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
-#: Candidates that are no secrets: identifiers with dashes, digits only, letters only, repeated marks, dashed or slashed words.
+#: Candidates that are no secrets: identifiers with dashes, digits only, letters only, repeated marks, dashed or slashed
+#: words and numbers. Possessive, so that a long candidate is read once.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[0-9_/+=-]+$",
-    r"^[A-Za-z_/+=-]+$",
-    r"^(.{1,4})\1+.{0,4}$",
-    r"^(?:[A-Za-z]+[0-9]{0,4}[-_/])+[A-Za-z]*[0-9]{0,4}$",
+    r"^[0-9_/+=-]++$",
+    r"^[A-Za-z_/+=-]++$",
+    r"^(.{1,4})\1++.{0,4}$",
+    r"^(?:(?:[A-Za-z]++[0-9]{0,4}+|[0-9]{1,8}+)?+[-_/])++(?:[A-Za-z]++[0-9]{0,4}+|[0-9]{0,8}+)$",
 )
 
 
@@ -40,26 +43,48 @@ def located(docs: DataFrame, kind: str, pattern: str, hint: str | None = None) -
     return rows.select("k", "th", F.lit(kind).alias("kind"), (F.col("end") - F.char_length("m")).alias("start"), "end", "m")
 
 
-def window_entropy(text: Column, window: int) -> Column:
-    """Largest Shannon entropy, in bits, over the windows of `window` ASCII characters of a string at least so long."""
-    size = F.char_length(text)
-    term = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
-    zero = F.array_repeat(F.lit(0), 128)
-    start = F.struct(zero.alias("c"), F.lit(0.0).alias("s"), F.lit(float("inf")).alias("least"))
-
-    def step(state: Column, i: Column) -> Column:
-        into = F.ascii(F.substring(text, i, F.lit(1)))
-        gone = F.when(i > window, F.ascii(F.substring(text, i - window, F.lit(1)))).otherwise(F.lit(-1))
-        n_in, n_out = F.get(state["c"], into), F.get(state["c"], gone)
-        counts = F.transform(state["c"], lambda n, j: n + (j == into).cast("int") - (j == gone).cast("int"))
-        change = F.when(into == gone, F.lit(0.0)).otherwise(
-            term(n_in + 1) - term(n_in) + F.when(gone >= 0, term(n_out - 1) - term(n_out)).otherwise(F.lit(0.0))
-        )
-        s = state["s"] + change
-        return F.struct(counts.alias("c"), s.alias("s"), F.when(i >= window, F.least(state["least"], s)).otherwise(state["least"]).alias("least"))
-
-    low = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda st: st["least"])
-    return F.log2(F.lit(float(window))) - low / window
+def window_entropy(text: Column, window: int, low: str = "+", high: str = "z") -> Column:
+    """Largest Shannon entropy, in bits, over the windows of `window` characters of a string at least so long.
+
+    The characters lie between `low` and `high`. Their counts in the window are packed into
+    a few longs, and one step changes one count up and one down, so the state and the work
+    of a step don't grow with the string.
+    """
+    first, size = ord(low), ord(high) - ord(low) + 1
+    bits = max(2, window.bit_length())
+    per = 63 // bits
+    gain = [n * math.log2(n) if n > 1 else 0.0 for n in range(window + 2)]
+    gain = F.array(*[F.lit(b - a) for a, b in zip(gain, gain[1:])])  # of a count that goes from n to n + 1
+    start = F.struct(
+        F.array(*[F.lit(0).cast("long")] * -(-size // per)).alias("c"), F.lit(0.0).alias("s"), F.lit(float("inf")).alias("least")
+    )
+    slot = lambda code: F.floor(code / per).cast("int")
+    shift = lambda code: (code % per) * bits
+    one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), shift(code))
+
+    def least(codes: Column) -> Column:
+        def count(state: Column, code: Column) -> Column:
+            packed = F.get(state["c"], slot(code))
+            return F.call_function("shiftrightunsigned", packed, shift(code)).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+
+        def step(state: Column, i: Column) -> Column:
+            into, gone = F.get(codes, i), F.get(codes, i - window)  # gone is null while the window fills
+            counts = F.transform(
+                state["c"],
+                lambda packed, j: packed
+                + F.when(j == slot(into), one(into)).otherwise(F.lit(0).cast("long"))
+                - F.when(j == slot(gone), one(gone)).otherwise(F.lit(0).cast("long")),
+            )
+            lost = F.coalesce(F.get(gain, count(state, gone) - 1), F.lit(0.0))
+            change = F.when(into.eqNullSafe(gone), F.lit(0.0)).otherwise(F.get(gain, count(state, into)) - lost)
+            s = state["s"] + change
+            return F.struct(counts.alias("c"), s.alias("s"), F.when(i >= window - 1, F.least(state["least"], s)).otherwise(state["least"]).alias("least"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda st: st["least"])
+
+    letters = F.transform(F.split(text, ""), lambda c: F.ascii(c) - first)
+    low_sum = F.transform(F.array(letters), least)[0]  # one array, read by index
+    return F.log2(F.lit(float(window))) - low_sum / window
 
 
 def entropy_spans(docs: DataFrame, window: int, hex_bits: float, mixed_bits: float, allowed: tuple[str, ...]) -> DataFrame:

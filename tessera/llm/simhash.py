@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stash
+from .common import shuffle_partitions, stash, unused
 from .components import components
 
 SMALL = 16
@@ -63,19 +63,21 @@ def _links(masks: list[int], radius: int):
     """Sorted rows (choice, key, fp) -> links (a, b) that join each bucket's close fingerprints."""
 
     def run(batches):
-        left = None
+        held: list[np.ndarray] = []  # of one bucket at most, besides the batch at hand
         for b in batches:
             rows = np.column_stack([b.column(i).to_numpy() for i in range(3)]).astype(np.int64)
-            rows = rows if left is None else np.vstack([left, rows])
             if not len(rows):
                 continue
-            cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1))
-            cut = cut[-1] + 1 if len(cut) else 0
-            left = rows[cut:]
-            if cut:
-                yield from _edges(rows[:cut], masks, radius)
-        if left is not None:
-            yield from _edges(left, masks, radius)
+            cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+            if held and (held[-1][-1, :2] != rows[0, :2]).any():
+                yield from _edges(np.concatenate(held), masks, radius)
+                held = []
+            if len(cuts):
+                yield from _edges(np.concatenate([*held, rows[: cuts[-1]]]), masks, radius)
+                held = []
+            held.append(rows[cuts[-1] if len(cuts) else 0 :])
+        if held:
+            yield from _edges(np.concatenate(held), masks, radius)
 
     return run
 
@@ -103,9 +105,13 @@ def _edges(rows: np.ndarray, masks: list[int], radius: int):
 
 
 def _dense(fp: np.ndarray, mask: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links of each component of a large bucket; two bits apart means a common point one bit away."""
+    """Star links of each component of a large bucket.
+
+    For a radius of two bits: two apart at most means a common point one bit away, and no
+    pair is looked at. Other radii compare block by block.
+    """
     if radius != 2:
-        raise ValueError("large buckets are linked for a radius of two bits")
+        return _compared(fp, radius)
     flips = np.array([0] + [1 << j for j in range(64) if not mask >> j & 1], np.uint64)
     node = np.tile(np.arange(len(fp)), len(flips))
     point = np.unique((fp[None, :] ^ flips[:, None]).ravel(), return_inverse=True)[1].ravel()
@@ -124,6 +130,22 @@ def _dense(fp: np.ndarray, mask: int, radius: int) -> tuple[np.ndarray, np.ndarr
     return fp[i], fp[label[i]]
 
 
+def _compared(fp: np.ndarray, radius: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Star links as of _dense, every fingerprint compared with the others a block at a time."""
+    label = np.arange(len(fp))
+    while True:
+        now = label.copy()
+        for s in range(0, len(fp), block):
+            near = np.bitwise_count(fp[s : s + block, None] ^ fp[None, :]) <= radius
+            now[s : s + block] = np.where(near, label[None, :], len(fp)).min(axis=1)
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    i = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[i], fp[label[i]]
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -175,10 +197,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Documents are told apart by identifier and text: rows that share an identifier, or have
     none, each stay or go with their own component. Where several texts of one component
-    have its identifier, the first by hash stays; of rows that repeat both, one.
+    have its identifier, the first by hash stays; of rows that repeat both, one. Null and
+    empty texts are one component. Columns are those of docs, whatever their names.
     """
     text_hash = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    stay = _grouped(docs, text_hash, id_col, text_col, **how).filter("doc_id <=> component_id").groupBy("root", F.col("doc_id").alias("_k")).agg(F.min("th").alias("_t"))
-    own = docs.withColumn("_h", text_hash)
-    joined = own.join(stay.select("_k", "_t"), (F.col("_h") == F.col("_t")) & own[id_col].cast("long").eqNullSafe(F.col("_k")), "left_semi")
-    return joined.dropDuplicates([id_col, "_h"]).select(*docs.columns)
+    stay = _grouped(docs, text_hash, id_col, text_col, **how).filter("doc_id <=> component_id").groupBy("root", F.col("doc_id").alias("_k")).agg(F.min("th").alias("_t")).select("_k", "_t")
+    k, h = unused(docs, "_k"), unused(docs, "_h")
+    own = docs.withColumns({k: F.col(id_col).cast("long"), h: text_hash})
+    joined = own.join(stay, (own[h] == stay["_t"]) & own[k].eqNullSafe(stay["_k"]), "left_semi")
+    return joined.dropDuplicates([k, h]).select(*docs.columns)

@@ -11,6 +11,7 @@ bounded sample of labelled documents.
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from dataclasses import dataclass, field
 
@@ -24,21 +25,25 @@ LETTERS = 27  # a-z, and 0 for whatever ends a word
 ORDER = 4
 GRAMS = LETTERS**ORDER
 CACHE = 150_000
-BEAM = 12
+SETTLE, HOLD = 512, 1 << 14  # steps after which the paths that are left are looked at for a common beginning; most steps held
+FADE = 0.7  # weight of each further word after the second, against the one before
 #: Which letters a character may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
+    "а": "a", "в": "b", "е": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
 #: Log-probabilities of the channel: a look-alike for a letter, a mark left as it is, one more copy of a letter, a gap put in.
 DISGUISE, MARK, COPY, GAP = -1.5, -4.0, -0.7, -2.0
 
 WORDS = re.compile(r"[^\W\d_]+")
-LATTICE = r"a-z0-9@$!|+(€£¡"
+LATTICE = "a-z0-9" + "".join(re.escape(c) for c in LOOKALIKES if not c.isdigit())
 RUN = re.compile(rf"[{LATTICE}]+")
 JOINED = re.compile(rf"[{LATTICE}]+(?:(?:(?![{LATTICE}])[\W_])+[{LATTICE}]+)+")
 DISGUISED = re.compile(r"(?=.*[a-z])(?=.*[^a-z]).{3,}|.*([a-z])\1.*")
 SPACED = re.compile(r"(?<!\S)(?:[a-z0-9@$!|+][.,;:_*~-]*[ \t]+){2,}[a-z0-9@$!|+](?![^\s.,;:?!])")
+SAME = re.compile(r"(.)\1{16,}")
 TRIM = ".,;:?!\"'()[]{}"
 
 
@@ -104,27 +109,65 @@ def options(chars: str, spaced: bool) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _path(trail: list[dict], state: int) -> tuple[int, list[str]]:
+    """The state before the trail on the way to `state`, and the letters put out since."""
+    out = []
+    for came in reversed(trail):
+        state, letter = came[state]
+        out.append(letter)
+    return state, out[::-1]
+
+
 def decode(chars: str, model: array, spaced: bool = False) -> str:
-    """The most likely reading of a disguised string: Viterbi over the last three letters, the best BEAM states kept."""
-    states = {(0, 0, 0): (0.0, "")}
+    """The most likely reading of a disguised string, exactly: Viterbi over the last three letters, with back-pointers.
+
+    What all paths that are left have in common is put out from time to time; where they
+    stay apart for HOLD steps, the best one is followed. So the memory of a long string is
+    bounded. A character that repeats over 16 times counts as 16 copies.
+    """
+    best, trail, done, look = {0: 0.0}, [], [], SETTLE
+    chars = SAME.sub(lambda m: m[1] * 16, chars)
+    top = LETTERS ** (ORDER - 1)
     for choice in options(chars, spaced):
-        nxt: dict[tuple, tuple[float, str]] = {}
-        for (a, b, c), (score, text) in states.items():
+        nxt: dict[int, float] = {}
+        came: dict[int, tuple[int, str]] = {}
+        for state, score in best.items():
             for letter, cost in choice:
                 if not letter:
-                    moves = (((a, b, c), score + cost, text),)
+                    moves = ((state, score + cost, ""),)
                 else:
                     d = ord(letter) - 96 if letter != " " else 0
-                    move = ((b, c, d), score + cost + model[((a * LETTERS + b) * LETTERS + c) * LETTERS + d], text + letter)
-                    moves = (move, ((a, b, c), score + cost + COPY, text)) if d and d == c else (move,)
-                for state, s, t in moves:
-                    if state not in nxt or nxt[state][0] < s:
-                        nxt[state] = (s, t)
-        if len(nxt) > BEAM:
-            nxt = dict(sorted(nxt.items(), key=lambda x: -x[1][0])[:BEAM])
-        states = nxt
-    end = ((s + model[((a * LETTERS + b) * LETTERS + c) * LETTERS], t) for (a, b, c), (s, t) in states.items())
-    return max(end)[1]
+                    at = state * LETTERS + d
+                    moves = ((at % top, score + cost + model[at], letter),)
+                    if d and d == state % LETTERS:
+                        moves += ((state, score + cost + COPY, ""),)
+                for to, s, put in moves:
+                    if to not in nxt or nxt[to] < s:
+                        nxt[to] = s
+                        came[to] = (state, put)
+        best = nxt
+        trail.append(came)
+        if len(trail) >= HOLD:
+            state = max(best, key=lambda x: (best[x], x))
+            done += _path(trail, state)[1]
+            best, trail, look = {state: 0.0}, [], SETTLE
+        elif len(trail) >= look:
+            done += _settled(trail, best)
+            look = max(SETTLE, 2 * len(trail))
+    state = max(best, key=lambda x: (best[x] + model[x * LETTERS], x))
+    return "".join(done + _path(trail, state)[1])
+
+
+def _settled(trail: list[dict], best: dict) -> list[str]:
+    """Takes from the trail, and returns, the letters of the steps before all paths part."""
+    live = set(best)
+    for i in range(len(trail) - 1, -1, -1):
+        live = {trail[i][x][0] for x in live}
+        if len(live) == 1:
+            out = _path(trail[:i], next(iter(live)))[1]
+            del trail[:i]
+            return out
+    return []
 
 
 def features(word: str) -> list[str]:
@@ -162,7 +205,7 @@ class Restorer:
         return list(self.use([w for m in SPACED.finditer(text) for w in decode(m[0], self.model, spaced=True).split()]))
 
     def words(self, text: str) -> set:
-        low = text.lower()
+        low = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()  # full-width letters and the like
         chunks = low.split()
         found = {w for c in set(chunks) for w in self.chunk(c)}
         return found.union(self.spaced(low, sum(len(c.strip(TRIM)) == 1 for c in chunks if len(c) < 4)))
@@ -183,11 +226,11 @@ class ToxicityModel:
         return Restorer(self.letters, self.rated)
 
     def evidence(self, text: str | None, restorer: Restorer) -> tuple[float, float, float]:
-        """Strongest, second strongest and the sum of the next six word weights; zeros for null."""
+        """Strongest, second strongest and the fading sum of all other word weights; zeros for null."""
         if not text or not self.weights:
             return 0.0, 0.0, 0.0
-        top = sorted((x for x, _ in restorer.words(text)), reverse=True)[:8] + [0.0, 0.0]
-        return top[0], top[1], sum(top[2:])
+        top = sorted((x for x, _ in restorer.words(text)), reverse=True) + [0.0, 0.0]
+        return top[0], top[1], sum(x * FADE**i for i, x in enumerate(top[2:]))
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.coef[0] + evidence @ self.coef[1:], -30, 30)))

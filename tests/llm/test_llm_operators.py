@@ -199,9 +199,8 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
-def test_packing_drains_when_many_windows_are_open(monkeypatch):
-    monkeypatch.setattr(packing, "MAX_OPEN", 3)
-    p = packing.Packer(16, 0)
+def test_packing_drains_when_many_windows_are_open():
+    p = packing.Packer(16, 0, max_open=3)
     rng = random.Random(2)
     sizes = [rng.randint(1, 40) for _ in range(300)]
     for i, n in enumerate(sizes):
