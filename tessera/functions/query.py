@@ -60,6 +60,18 @@ def expansions(question: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))
 
 
+def acronym_expansions(question: Column, dictionary: dict[str, tuple[str, ...]]) -> Column:
+    """map acronym -> its long forms, for the acronyms of a fixed dictionary that the question has as words."""
+    entries = [F.when(question.rlike(rf"\b{a}\b"), F.struct(F.lit(a).alias("key"), F.array(*map(F.lit, long)).alias("value"))) for a, long in dictionary.items()]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull())) if entries else F.create_map().cast("map<string,array<string>>")
+
+
+def enriched(question: Column, *expanded: Column) -> Column:
+    """The question followed by its expansions in brackets, once each."""
+    more = F.array_sort(F.array_distinct(F.flatten(F.concat(*[F.map_values(e) for e in expanded]))))
+    return F.when(F.size(more) > 0, F.concat(question, F.lit(" ("), F.array_join(more, ", "), F.lit(")"))).otherwise(question)
+
+
 def needs_graph(intent_name: Column, types: Column, question: Column) -> Column:
     low = F.lower(question)
     return intent_name.isin("structural", "hybrid") | (F.size(types) > 0) | any_of([low.contains(w) for w in C.GRAPH_WORDS])

@@ -25,7 +25,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    return F.transform(a, lambda x: F.when(norm(a) == 0, x.cast("double")).otherwise(x.cast("double") / norm(a)))
+    """Of length 1; a vector of no length stays as it is. The length is computed once a vector."""
+    of = lambda n: F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    return F.get(F.transform(F.array(norm(a)), of), F.lit(0))
 
 
 # ---------------------------------------------------------------- strings

@@ -193,21 +193,23 @@ def _ocr(text: str) -> str:
     return re.sub(r"\d+[^\d]*\d+", lambda m: re.sub(r"\bO\b", "0", re.sub(r"\bl\b", "1", m[0])), text)
 
 
-def clean_text(text: str, fix_words: bool = False) -> str:
+def clean_text(text: str, fix_words: bool = False, chain=None, keep=None) -> str:
     """Headers, footers, page numbers, watermarks, noise and OCR slips removed; code and formulas kept.
 
     Only what the removal chain could touch inside code, formulas and `$...$` is set aside,
-    so lines are judged with their plain words in place.
+    so lines are judged with their plain words in place. chain and keep are compiled
+    patterns of other rules.
     """
+    chain, keep = _CLEAN if chain is None else chain, _KEEP[:5] if keep is None else keep
     kept: list[str] = []
 
     def aside(m: re.Match) -> str:
         kept.append(m[0])
         return _mark(len(kept) - 1)
 
-    for pattern in _KEEP[:5]:
+    for pattern in keep:
         text = pattern.sub(aside, text)
-    for _, patterns in _CLEAN:
+    for _, patterns in chain:
         for pattern in patterns:
             text = pattern.sub("", text)
     text = _ocr(text)
@@ -215,7 +217,7 @@ def clean_text(text: str, fix_words: bool = False) -> str:
         text = text.replace("rn", "m")
     for pattern, new in ((r" {2,}", " "), (r"\n{3,}", "\n\n"), (r"(?m) +$", ""), (r"(?m)^\s+$", ""), (r"[\t\r\f\v]", " ")):
         text = re.sub(pattern, new, text)
-    for _ in _KEEP[:5]:  # code may hold a formula that was set aside before it
+    for _ in keep:  # code may hold a formula that was set aside before it
         text = _restore(text, kept)
     return text.strip()
 
@@ -225,6 +227,18 @@ def clean(texts: pd.Series) -> pd.Series:
     return texts.map(clean_text, na_action="ignore")
 
 
+def cleaner(cleaning: dict[str, tuple[str, ...]], preserved: tuple[str, ...] = C.PRESERVED[:5], fix_words: bool = False):
+    """A column function that cleans by other patterns than the fixed ones."""
+    chain = [(k, [re.compile(p, re.M) for p in v]) for k, v in cleaning.items()]
+    keep = [re.compile(p) for p in preserved]
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: clean_text(t, fix_words, chain, keep), na_action="ignore")
+
+    return run
+
+
 def cleaning_stats(original: Column, cleaned: Column) -> list[Column]:
     a, b = F.char_length(original), F.char_length(cleaned)
     return [

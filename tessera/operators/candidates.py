@@ -11,16 +11,30 @@ from .. import constants as C
 UNION_LISTS = ("source_documents", "chunk_ids", "provenance_events")
 
 
-def merged_list(name: str, order: str = "_seq") -> Column:
-    """Distinct elements of all rows' arrays, in order of first appearance."""
-    lists = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.coalesce(F.col(name), F.array().cast("array<string>")).alias("v")))), lambda s: s["v"])
-    return F.array_distinct(F.flatten(lists))
+def no_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
+def merged_lists(rows: DataFrame, key: str, names: list[str], order: str = "_seq") -> DataFrame:
+    """key and, for each list column, the distinct elements of all rows' arrays in order of first appearance.
+
+    Elements are deduplicated, with a map-side part, before a key's are gathered.
+    """
+    def numbered(k: int, name: str) -> Column:
+        return F.transform(F.coalesce(name, no_strings()), lambda v, i: F.struct(F.lit(k).alias("k"), v.alias("v"), i.alias("i")))
+
+    def of(k: int) -> Column:
+        return F.transform(F.filter("all", lambda s: s["k"] == k), lambda s: s["v"])
+
+    flat = rows.select(key, order, F.explode(F.concat(*[numbered(k, n) for k, n in enumerate(names)])).alias("e")).select(key, "e.k", "e.v", F.struct(F.col(order), F.col("e.i")).alias("o"))
+    one = flat.groupBy(key, "k", "v").agg(F.min("o").alias("o")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "o", "v"))).alias("all"))
+    return one.select(F.col(key).alias("_key"), *[of(k).alias(n) for k, n in enumerate(names)])
 
 
 def upsert_candidates(existing: DataFrame | None, new: DataFrame, key: str = "candidate_key") -> DataFrame:
     """First writer keeps names, types, aliases and description; counts add up, confidence is the highest, lists are united.
 
-    One aggregation with a map-side part; both sides may hold a key many times.
+    Aggregations with a map-side part; both sides may hold a key many times.
     """
     rows = new.withColumn("_seq", F.lit(1))
     if existing is not None:
@@ -31,9 +45,13 @@ def upsert_candidates(existing: DataFrame | None, new: DataFrame, key: str = "ca
     for c in rows.columns:
         if c in (key, "_seq"):
             continue
-        how = special.get(c) if c in special else merged_list(c) if c in UNION_LISTS else F.min_by(c, "_seq")
-        aggs.append(how.alias(c))
-    return rows.groupBy(key).agg(*aggs).select(*[c for c in rows.columns if c != "_seq"])
+        if c not in UNION_LISTS:
+            aggs.append((special[c] if c in special else F.min_by(c, "_seq")).alias(c))
+    lists = [c for c in rows.columns if c in UNION_LISTS]
+    out = rows.groupBy(key).agg(*aggs)
+    if lists:
+        out = out.join(merged_lists(rows, key, lists), F.col(key).eqNullSafe(F.col("_key")), "left")
+    return out.select(*[F.coalesce(c, no_strings()).alias(c) if c in lists else F.col(c) for c in rows.columns if c != "_seq"])
 
 
 def upsert_rows(existing: DataFrame | None, new: DataFrame, key: str, seq: str | None = None) -> DataFrame:
@@ -62,12 +80,40 @@ def upsert_edges(existing: DataFrame | None, new: DataFrame, entities: DataFrame
     return upsert_rows(existing, whole, "id"), bad
 
 
-def patch(base: DataFrame, changes: DataFrame, key: str, editable: tuple[str, ...]) -> DataFrame:
-    """Columns of `editable` that a change sets replace those of the row with its key; null sets nothing."""
-    cols = [c for c in editable if c in changes.columns]
-    p = changes.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_p_{c}") for c in cols])
+def patch(base: DataFrame, changes: DataFrame, key: str, editable: tuple[str, ...], clear: str = "cleared") -> DataFrame:
+    """Columns of `editable` that a change sets replace those of the row with its key; null sets nothing.
+
+    A change's array column `clear`, where there is one, names the columns to set to null.
+    """
+    cols = [c for c in editable if c in changes.columns or clear in changes.columns]
+    gone = F.coalesce(F.col(clear), no_strings()) if clear in changes.columns else no_strings()
+    p = changes.select(F.col(key).alias("_k"), gone.alias("_gone"), *[F.col(c).alias(f"_p_{c}") for c in cols if c in changes.columns])
     joined = base.join(p, base[key] == p["_k"], "left")
-    return joined.select(*[F.coalesce(f"_p_{c}", c).alias(c) if c in cols else F.col(c) for c in base.columns])
+
+    def value(c: str) -> Column:
+        if c not in cols or c not in base.columns:
+            return F.col(c)
+        new = F.coalesce(f"_p_{c}", c) if c in changes.columns else F.col(c)
+        return F.when(F.coalesce(F.array_contains("_gone", c), F.lit(False)), F.lit(None)).otherwise(new).alias(c)
+
+    return joined.select(*[value(c) for c in base.columns])
+
+
+def upsert_chunks(existing: DataFrame | None, new: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks, rejected): a chunk needs its document, and its parent, if it names one, among all chunks."""
+    ids = documents.select(F.col("document_id").alias("_d")).distinct()
+    placed = new.join(ids, new["document_id"] == ids["_d"], "left_semi")
+    rows = upsert_rows(existing, placed, "chunk_id")
+    parents = rows.select(F.col("chunk_id").alias("_c")).distinct()
+    orphan = rows.filter("parent_chunk_id is not null").join(parents, F.col("parent_chunk_id") == F.col("_c"), "left_anti").select("chunk_id")
+    lost = new.join(ids, new["document_id"] == ids["_d"], "left_anti").select("chunk_id").union(orphan).distinct()
+    return rows.join(orphan, "chunk_id", "left_anti").select(*rows.columns), new.join(lost, "chunk_id", "left_semi").select(*new.columns)
+
+
+def upsert_vectors(existing: DataFrame | None, new: DataFrame, size: int, key: str = "id", vec: str = "vec") -> DataFrame:
+    """Vectors by key, the last writer wins; one of another length raises when it is read."""
+    fits = F.when(F.size(vec) == size, F.col(vec)).otherwise(F.raise_error(F.concat(F.lit("vector of another length: "), F.col(key).cast("string"))))
+    return upsert_rows(existing, new.withColumn(vec, fits), key)
 
 
 def delete_keys(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -147,6 +193,8 @@ def fold_survivors(rows: DataFrame, survivor: str = "survivor") -> DataFrame:
         F.array_sort(F.array_distinct(F.concat(F.flatten(F.collect_list("aliases")), F.collect_list(F.when(F.col("candidate_key") != F.col(survivor), F.col("canonical_name")))))).alias("aliases"),
         F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), "description")).alias("description"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_documents")))).alias("source_documents"),
+        F.max_by("canonical_name", F.col("candidate_key") == F.col(survivor)).alias("canonical_name"),
     )
 
 
@@ -187,6 +235,54 @@ def scan(rows: DataFrame, status: str | None = None, types: list[str] | None = N
     return rows
 
 
+def list_entities(entities: DataFrame, kind: str | None = None, status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """One page of the entities of a type and a status, by name."""
+    rows = entities if kind is None else entities.filter(F.col("entity_type") == kind)
+    rows = rows if status is None else rows.filter(F.col("status") == status)
+    return rows.orderBy("canonical_name", "id").offset(offset).limit(limit)
+
+
+def involving_keys(relations: DataFrame, keys: DataFrame, statuses: list[str] | None = None, limit: int | None = 200) -> DataFrame:
+    """Relation candidates whose key begins with `k:` or ends with `:k` for any of the keys, which may hold colons.
+
+    Every beginning and every end of a key that a colon cuts off meets the keys in one equi-join.
+    """
+    rows = relations if statuses is None else relations.filter(F.col("status").isin(*statuses))
+    parts = F.split("candidate_key", ":")
+    n = F.size(parts)
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array(F.array_join(F.slice(parts, F.lit(1), i), ":"), F.array_join(F.slice(parts, i + 1, n - i), ":")))
+    ends = rows.filter(n > 1).select("candidate_key", F.explode(F.array_distinct(F.flatten(cuts))).alias("key"))
+    hit = ends.join(keys.select("key").distinct(), "key", "left_semi").select("candidate_key").distinct()
+    out = rows.join(hit, "candidate_key", "left_semi").select(*relations.columns)
+    return out if limit is None else out.orderBy("candidate_key").limit(limit)
+
+
+def top_entities(candidates: DataFrame, top: int = 50) -> DataFrame:
+    """The most mentioned candidates."""
+    return candidates.orderBy(F.desc("mention_count"), F.desc("confidence_score"), "candidate_key").limit(top)
+
+
+def sorted_queue(rows: DataFrame, sort: str = "confidence", limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of a review queue, by confidence, mentions or name."""
+    order = {"confidence": [F.desc("confidence_score"), F.desc("mention_count")], "mentions": [F.desc("mention_count"), F.desc("confidence_score")], "name": [F.lower("canonical_name")]}[sort]
+    return rows.orderBy(*order, "candidate_key").offset(offset).limit(limit)
+
+
+def topics_of(docs: DataFrame, topic: str = "topic") -> DataFrame:
+    """The topics that documents have, once each."""
+    return docs.filter(F.col(topic).isNotNull()).select(topic).distinct()
+
+
+def of_topics(docs: DataFrame, topics: list[str], topic: str = "topic") -> DataFrame:
+    """Documents of any of the topics."""
+    return docs.filter(F.col(topic).isin(*topics))
+
+
+def duplicate_checksums(docs: DataFrame, checksum: Column, id_col: str) -> DataFrame:
+    """checksum, n, first identifier of contents that several documents have."""
+    return docs.groupBy(checksum.alias("checksum")).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias(id_col)).filter("n > 1")
+
+
 def page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return rows.orderBy(F.desc("confidence_score"), F.desc("mention_count"), "candidate_key").offset(offset).limit(limit)
 

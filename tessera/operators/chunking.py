@@ -47,23 +47,38 @@ def sections(docs: DataFrame, id_col: str = "document_id", text_col: str = "raw_
 def pack_sentences(text: Column, max_tokens: int = 512) -> Column:
     """array of struct(content, token_count): sentences up to a budget of tokens, the last two carried over.
 
-    The reset depends on the running sum, so it is a fold over the text's sentences.
+    The reset depends on the running sum, so it is a fold over the sentences' sizes, which
+    puts out the bounds of each chunk; only then are sentences joined. Linear in the text.
     """
-    item = "struct<s:string,n:bigint>"
-    each = F.transform(F.filter(X.sentences(text), lambda s: F.trim(s) != ""), lambda s: F.struct(s.alias("s"), X.token_estimate(s).alias("n")))
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    chunk = lambda xs: F.struct(F.array_join(F.transform(xs, lambda x: x["s"]), " ").alias("content"), total(xs).alias("token_count"))
-    start = F.struct(F.array().cast(f"array<{item}>").alias("buf"), F.array().cast("array<struct<content:string,token_count:bigint>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        full = (total(state["buf"]) + x["n"] > max_tokens) & (F.size(state["buf"]) > 0)
-        carry = F.slice(state["buf"], F.greatest(F.lit(1), F.size(state["buf"]) - 1), 2)
+    def packed(said: Column) -> Column:
+        sizes = F.transform(said, X.token_estimate)
+        return F.get(F.transform(F.array(sizes), lambda n: _cut(said, n, max_tokens)), F.lit(0))
+
+    said = F.filter(X.sentences(text), lambda s: F.trim(s) != "")
+    return F.get(F.transform(F.array(said), packed), F.lit(0))  # lambdas' arguments are computed once
+
+
+def _cut(said: Column, sizes: Column, max_tokens: int) -> Column:
+    span = "array<struct<a:int,z:int,n:bigint>>"
+    start = F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("n"), F.array().cast(span).alias("out"))
+    chunk = lambda a, z, n: F.array(F.struct(a.alias("a"), z.alias("z"), n.alias("n")))
+
+    def step(state: Column, i: Column) -> Column:
+        size = F.get(sizes, i)
+        full = (state["n"] + size > max_tokens) & (i > state["a"])
+        first = F.greatest(state["a"], i - 2)  # the last two are carried over
+        carried = F.when(i - 2 >= state["a"], F.get(sizes, i - 2)).otherwise(F.lit(0).cast("long")) + F.get(sizes, i - 1)
         return F.struct(
-            F.when(full, F.concat(carry, F.array(x))).otherwise(F.concat(state["buf"], F.array(x))).alias("buf"),
-            F.when(full, F.concat(state["out"], F.array(chunk(state["buf"])))).otherwise(state["out"]).alias("out"),
+            F.when(full, first).otherwise(state["a"]).alias("a"),
+            (F.when(full, carried).otherwise(state["n"]) + size).alias("n"),
+            F.when(full, F.concat(state["out"], chunk(state["a"], i, state["n"]))).otherwise(state["out"]).alias("out"),
         )
 
-    return F.aggregate(each, start, step, lambda s: F.when(F.size(s["buf"]) > 0, F.concat(s["out"], F.array(chunk(s["buf"])))).otherwise(s["out"]))
+    last = F.size(said)
+    all_of = F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0)))
+    spans = F.aggregate(all_of, start, step, lambda s: F.concat(s["out"], chunk(s["a"], last, s["n"])))
+    texts = F.transform(spans, lambda s: F.struct(F.array_join(F.slice(said, s["a"] + 1, s["z"] - s["a"]), " ").alias("content"), s["n"].alias("token_count")))
+    return F.when(last > 0, texts).otherwise(F.array().cast("array<struct<content:string,token_count:bigint>>"))
 
 
 def _row(df: DataFrame, level: int, path: Column, parent: Column, title: Column, content: Column, tokens: Column | None = None) -> DataFrame:

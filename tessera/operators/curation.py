@@ -10,7 +10,8 @@ from .. import constants as C
 from .. import schemas
 from ..functions import similarity as S
 from . import candidates as K
-
+from . import graph as G
+from . import normalization as N
 
 
 def _list(name: str) -> Column:
@@ -98,18 +99,10 @@ def replay(candidates: DataFrame, log: DataFrame, upto: int | None = None) -> Da
     """State of the candidates after the decisions in the log (seq, candidate_key, action, patch columns).
 
     Approve, reject, edit and merge; `undo` takes back the latest decision before it that
-    isn't taken back yet. The state at any point is the fold of the log up to it, so
-    rolling back is replaying less.
+    isn't taken back yet, within its session where the log has a column `session`. The
+    state at any point is the fold of the log up to it, so rolling back is replaying less.
     """
-    log = log if upto is None else log.filter(F.col("seq") <= upto)
-    w = W.orderBy(F.desc("seq"))
-    undo = F.when(F.col("action") == "undo", 1).otherwise(-1)
-    # Read from the end: an undo cancels the next decision not cancelled by a later one, as brackets pair up.
-    depth = F.sum(undo).over(w)
-    low = F.min(depth).over(w.rowsBetween(W.unboundedPreceding, -1))
-    live = log.withColumn("_d", depth).withColumn("_low", F.least(F.coalesce(low, F.lit(0)), F.lit(0)))
-    live = live.filter((F.col("action") != "undo") & (F.col("_d") < F.col("_low")))
-    last = live.groupBy("candidate_key").agg(
+    last = live_decisions(log if upto is None else log.filter(F.col("seq") <= upto)).groupBy("candidate_key").agg(
         F.max_by("action", F.when(F.col("action").isin("approve", "reject", "merge"), F.col("seq"))).alias("_action"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_p_{c}") for c in EDITABLE if c in log.columns],
     )
@@ -119,6 +112,130 @@ def replay(candidates: DataFrame, log: DataFrame, upto: int | None = None) -> Da
     return j.select(*cols)
 
 
+def live_decisions(log: DataFrame) -> DataFrame:
+    """The decisions of a log that no undo takes back.
+
+    Read from the end, an undo cancels the next decision not cancelled by a later one, as
+    brackets pair up. A curator's session is what one task sorts; a log without sessions
+    is one.
+    """
+    w = (W.partitionBy("session") if "session" in log.columns else W.partitionBy(F.lit(0))).orderBy(F.desc("seq"))
+    undo = F.when(F.col("action") == "undo", 1).otherwise(-1)
+    rows = log.withColumn("_d", F.sum(undo).over(w))
+    low = F.min("_d").over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_low", F.least(F.coalesce(low, F.lit(0)), F.lit(0)))
+    return rows.filter((F.col("action") != "undo") & (F.col("_d") < F.col("_low"))).drop("_d", "_low")
+
+
+def session_statistics(log: DataFrame) -> DataFrame:
+    """session, decisions by kind, minutes from the first to the last, decisions a minute (0 for a session of no length)."""
+    n = lambda a: F.count_if(F.col("action") == a)
+    at = F.col("at").cast("timestamp")
+    minutes = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 60e6
+    out = log.groupBy("session").agg(F.count(F.lit(1)).alias("decisions"), n("approve").alias("approved"), n("reject").alias("rejected"), n("undo").alias("undone"), minutes.alias("minutes"))
+    return out.withColumn("velocity", F.when(F.col("minutes") > 0, F.col("decisions") / F.col("minutes")).otherwise(F.lit(0.0)))
+
+
+def decide(tables: dict[str, DataFrame], decisions: DataFrame, normalized=F.lower) -> dict[str, DataFrame]:
+    """Approvals and rejections with all that follows from them, as one set of new tables.
+
+    tables: entity_candidates, entities, normalization, relationship_candidates,
+    relationships. decisions: (candidate_key, action 'approve' or 'reject', reason). An
+    approved candidate becomes an entity, its names become approved normalisation entries,
+    and relation candidates whose both ends are now approved become edges. Only pending
+    candidates are decided; the others are skipped. `audit` has one row a decision.
+    """
+    said = decisions.groupBy("candidate_key").agg(F.max_by(F.struct("action", "reason"), F.struct(F.col("action"), F.col("reason"))).alias("_d"))
+    rows = tables["entity_candidates"].join(said, "candidate_key", "left")
+    hit = (F.col("status") == "pending") & F.col("_d").isNotNull()
+    status = F.when(hit & (F.col("_d.action") == "approve"), "approved").when(hit & (F.col("_d.action") == "reject"), "rejected").otherwise(F.col("status"))
+    audit = rows.filter(F.col("_d").isNotNull()).select("candidate_key", F.col("_d.action").alias("action"), F.col("_d.reason").alias("reason"), hit.alias("applied"))
+    candidates = rows.withColumn("_s", status).select(*[F.col("_s").alias("status") if c == "status" else F.col(c) for c in tables["entity_candidates"].columns])
+    fresh = approve(candidates.join(audit.filter("applied and action = 'approve'").select("candidate_key"), "candidate_key", "left_semi"))
+    entities = K.upsert_rows(tables["entities"], fresh, "id")
+    now = F.current_timestamp()
+    entries = normalization_entries(fresh, normalized).select(
+        "*", F.lit("manual").alias("method"), F.lit(1.0).alias("confidence"), now.alias("created_at"), now.alias("updated_at"), F.lit("").alias("notes"), F.lit("curation").alias("source"), F.lit("approved").alias("status"), F.lit(1).alias("version")
+    )
+    normalization = N.upsert(tables["normalization"], entries)
+    edges = promote_relations(tables["relationship_candidates"].filter("status <> 'rejected'"), normalization)
+    have = tables["relationships"]
+    edges = edges.select(*[F.lit("approved").alias(c) if c == "status" else F.col(c) if c in edges.columns else F.lit(None).cast(have.schema[c].dataType).alias(c) for c in have.columns])
+    return {"entity_candidates": candidates, "entities": entities, "normalization": normalization, "relationships": K.upsert_rows(have, edges, "id"), "audit": audit}
+
+
+def decide_relations(relations: DataFrame, decisions: DataFrame, normalization: DataFrame, normalized=schemas.key_fragment) -> tuple[DataFrame, DataFrame]:
+    """(relations, edges) after approving or rejecting relation candidates.
+
+    An approved candidate becomes an edge if both its ends are approved names; otherwise it
+    stays pending, and `reason` says why.
+    """
+    said = decisions.groupBy("candidate_key").agg(F.max("action").alias("_a"))
+    rows = relations.join(said, "candidate_key", "left")
+    ok = normalization.filter((F.col("status") == "approved") & F.col("canonical_id").isNotNull()).select("normalized_form").distinct()
+    for side, flag in (("source", "_s"), ("target", "_t")):
+        known = ok.select(F.col("normalized_form").alias(f"_n{flag}"), F.lit(True).alias(flag))
+        rows = rows.join(known, normalized(F.col(side)) == F.col(f"_n{flag}"), "left")
+    whole = F.col("_s").isNotNull() & F.col("_t").isNotNull()
+    asked = (F.col("status") == "pending") & F.col("_a").isNotNull()
+    status = F.when(asked & (F.col("_a") == "approve") & whole, "approved").when(asked & (F.col("_a") == "reject"), "rejected").otherwise(F.col("status"))
+    reason = F.when(asked & (F.col("_a") == "approve") & ~whole, F.when(F.col("_s").isNull(), "source not approved").otherwise("target not approved"))
+    out = rows.withColumn("_new", status).withColumn("reason", reason).select(*[F.col("_new").alias("status") if c == "status" else F.col(c) for c in relations.columns], "reason")
+    newly = out.join(said.filter("_a = 'approve'").select("candidate_key"), "candidate_key", "left_semi").filter("status = 'approved'")
+    return out, promote_relations(newly, normalization, normalized)
+
+
+def survivors(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidate_key, survivor: of each component the candidate with most mentions, then the longest name, then the greatest key."""
+    rows = members.select(F.col("node").alias("candidate_key"), "component").join(candidates, "candidate_key")
+    best = rows.groupBy("component").agg(F.max_by("candidate_key", F.struct("mention_count", F.char_length("canonical_name"), "candidate_key")).alias("survivor"))
+    return rows.select("candidate_key", "component").join(best, "component").select("candidate_key", "survivor")
+
+
+def merge_clusters(candidates: DataFrame, clusters: DataFrame) -> DataFrame:
+    """candidates with each cluster (candidate_key, survivor) folded into its survivor: all clusters or none.
+
+    A key that isn't there raises when the result is read. Candidates of no cluster stay.
+    """
+    c = clusters.join(candidates.select("candidate_key", F.lit(True).alias("_there")), "candidate_key", "left")
+    told = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no candidate "), F.col("candidate_key")))).otherwise(F.col("survivor"))
+    of = c.select("candidate_key", told.alias("survivor"))
+    rows = candidates.join(of, "candidate_key", "left").withColumn("survivor", F.coalesce("survivor", "candidate_key"))
+    folded = K.fold_survivors(rows).withColumnRenamed("survivor", "candidate_key")
+    keep = [x for x in candidates.columns if x not in folded.columns]
+    return folded.join(candidates.select("candidate_key", *keep), "candidate_key").select(*[x for x in candidates.columns if x in folded.columns or x in keep])
+
+
+def auto_merge(candidates: DataFrame, suggest, rounds: int = 10) -> DataFrame:
+    """candidates merged until `suggest` (candidates -> left, right of what is to be merged by itself) has nothing more.
+
+    Each round links the suggestions into components, picks survivors and folds; its
+    result is written. Raises if it hasn't settled after `rounds`.
+    """
+    for _ in range(rounds):
+        pairs = G.written(suggest(candidates).select("left", "right"), "auto")
+        if pairs.isEmpty():
+            return candidates
+        candidates = G.written(merge_clusters(candidates, survivors(G.connected_components(pairs), candidates)), "merged")
+    if not suggest(candidates).isEmpty():
+        raise RuntimeError("automatic merging did not settle")
+    return candidates
+
+
+def compare_pairs(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Both candidates of each pair (left, right) side by side, what they share, and what merging them would give."""
+    one = lambda p: candidates.select(F.col("candidate_key").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("canonical_name", "candidate_type", "mention_count", "confidence_score", "aliases", "source_documents")])
+    j = pairs.select("left", "right").join(one("left"), "left").join(one("right"), "right")
+    names = lambda p: F.transform(F.concat(F.array(f"{p}_canonical_name"), _list(f"{p}_aliases")), schemas.approved_key)
+    left_wins = F.struct("left_mention_count", F.char_length("left_canonical_name"), "left") >= F.struct("right_mention_count", F.char_length("right_canonical_name"), "right")
+    return j.select(
+        "left", "right", "left_canonical_name", "right_canonical_name", (F.col("left_candidate_type") == F.col("right_candidate_type")).alias("same_type"),
+        F.array_sort(F.array_intersect(names("left"), names("right"))).alias("shared_names"), F.size(F.array_intersect(_list("left_source_documents"), _list("right_source_documents"))).alias("shared_documents"),
+        F.when(left_wins, F.col("left")).otherwise(F.col("right")).alias("survivor"), (F.col("left_mention_count") + F.col("right_mention_count")).alias("mention_count"), F.greatest("left_confidence_score", "right_confidence_score").alias("confidence_score"),
+        F.size(F.array_union(_list("left_source_documents"), _list("right_source_documents"))).alias("documents"),
+    )
+
+
 def approve(candidates: DataFrame) -> DataFrame:
     """Entities of approved candidates; ids follow from the keys, so approving twice changes nothing."""
     return candidates.filter(F.col("status") == "approved").select(

@@ -53,6 +53,18 @@ def fuzzy_suggestions(candidates: DataFrame, threshold: float = 0.9, prefix: int
     return out if most is None else out.orderBy(F.desc("confidence"), "left", "right").limit(most)
 
 
+def semantic_suggestions(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """left, right, candidate_type, score, confidence of similar embeddings (left, right, similarity), as fuzzy_suggestions has them."""
+    kinds = candidates.select(F.col("candidate_key").alias("left"), "candidate_type")
+    return pairs.join(kinds, "left").select("left", "right", "candidate_type", F.round("similarity", 6).alias("score"), F.round(F.least(F.lit(1.0), F.col("similarity")), 6).alias("confidence"))
+
+
+def suggestions(fuzzy: DataFrame, semantic: DataFrame, most: int | None = 100) -> DataFrame:
+    """Both kinds of suggestions as one bag, with the method, ranked by confidence."""
+    both = fuzzy.withColumn("method", F.lit("fuzzy")).unionByName(semantic.withColumn("method", F.lit("semantic")))
+    return both if most is None else both.orderBy(F.desc("confidence"), "left", "right", "method").limit(most)
+
+
 def top_choices(sources: DataFrame, choices: DataFrame, k: int = 3, threshold: float = 0.9) -> DataFrame:
     """Best k choices of each source name; every distinct choice is scored, as the best k have no least score."""
     a = sources.select(F.lower(F.trim("name")).alias("source")).distinct()

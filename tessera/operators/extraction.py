@@ -158,6 +158,12 @@ def acronym_definitions(chunks: DataFrame, id_col: str = "chunk_id", text_col: s
     return out.filter(X.is_acronym(F.col("acronym")) & (F.col("expansion") != "") & (F.lower("expansion") != F.lower("acronym")))
 
 
+def acronym_tokens(chunks: DataFrame) -> DataFrame:
+    """chunk_id, acronym, n: what looks like an acronym, and how often each chunk has it."""
+    each = chunks.select("chunk_id", F.explode(F.regexp_extract_all("content", F.lit(C.ACRONYM), F.lit(0))).alias("acronym"))
+    return each.filter(X.is_acronym(F.col("acronym"))).groupBy("chunk_id", "acronym").agg(F.count(F.lit(1)).alias("n"))
+
+
 def acronym_dictionary(definitions: DataFrame, contexts: int = 10, old: DataFrame | None = None) -> DataFrame:
     """acronym, expansion, n, share of the acronym's definitions, up to ten contexts; `old` is added to."""
     ranked = definitions.withColumn("r", F.row_number().over(W.partitionBy("acronym", "expansion").orderBy("context")))

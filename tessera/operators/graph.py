@@ -13,10 +13,12 @@ BOTH, OUT, IN = "both", "outgoing", "incoming"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset on one machine (tests)."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("tessera.graph.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="tessera-graph-")
@@ -41,10 +43,11 @@ def directed(edges: DataFrame, direction: str = OUT, types: list[str] | None = N
     return {OUT: out, IN: back, BOTH: out.unionByName(back.filter("src <> dst"))}[direction]
 
 
-def trails(edges: DataFrame, starts: DataFrame, depth: int, direction: str = OUT, types: list[str] | None = None) -> DataFrame:
+def trails(edges: DataFrame, starts: DataFrame, depth: int, direction: str = OUT, types: list[str] | None = None, near: dict[int, DataFrame] | None = None) -> DataFrame:
     """start, end, depth, nodes, eids of every trail of 1..depth edges; an edge is used once, nodes may recur.
 
-    `depth` equi-joins, one a step, so the optimiser sees each.
+    `depth` equi-joins, one a step. Beyond two steps each is written, so no later step joins
+    it again. near (step -> DataFrame of id) keeps only the ends from which a goal is near.
     """
     e = directed(edges, direction, types)
     level = starts.select(F.col("id").alias("start"), F.col("id").alias("end")).select(
@@ -56,18 +59,35 @@ def trails(edges: DataFrame, starts: DataFrame, depth: int, direction: str = OUT
         level = step.select(
             "start", F.col("dst").alias("end"), F.lit(d).alias("depth"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("eids", F.array(F.col("eid").cast("string"))).alias("eids")
         )
+        if near:
+            level = level.join(near[d].select(F.col("id").alias("end")), "end", "left_semi").select(*level.columns)
+        level = written(level, "trails") if depth > 2 else level
         found = level if found is None else found.unionByName(level)
     return found
 
 
+def within(edges: DataFrame, goals: DataFrame, steps: int, direction: str, types: list[str] | None = None) -> dict[int, DataFrame]:
+    """For d = 0..steps the nodes from which a goal can be reached in at most d steps."""
+    e = directed(edges, direction, types).select("src", "dst").distinct()
+    out = {0: goals.select("id").distinct()}
+    for d in range(1, steps + 1):
+        before = e.join(out[d - 1], e["dst"] == out[d - 1]["id"], "left_semi").select(F.col("src").alias("id"))
+        out[d] = written(out[d - 1].union(before).distinct(), "within")
+    return out
+
+
 def traverse(edges: DataFrame, starts: DataFrame, depth: int = 3, direction: str = OUT, types: list[str] | None = None) -> DataFrame:
     """Distinct (start, end, depth)."""
     return trails(edges, starts, depth, direction, types).select("start", "end", "depth").distinct()
 
 
 def find_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3, types: list[str] | None = None, limit: int = 10) -> DataFrame:
-    """Up to `limit` undirected trails between each (source, target): shortest first, then by node ids."""
-    t = trails(edges, pairs.select(F.col("source").alias("id")).distinct(), depth, BOTH, types)
+    """Up to `limit` undirected trails between each (source, target): shortest first, then by node ids.
+
+    A trail is followed only while a target is in reach of the steps that are left.
+    """
+    reach = within(edges, pairs.select(F.col("target").alias("id")), depth - 1, BOTH, types)
+    t = trails(edges, pairs.select(F.col("source").alias("id")).distinct(), depth, BOTH, types, {d: reach[depth - d] for d in range(1, depth + 1)})
     hit = t.join(pairs.distinct(), (t["start"] == pairs["source"]) & (t["end"] == pairs["target"]), "left_semi")
     order = W.partitionBy("start", "end").orderBy("depth", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">"), F.array_join("eids", ">"))
     return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
@@ -100,6 +120,36 @@ def strategy_paths(edges: DataFrame, starts: DataFrame, strategy: str, depth: in
     return trails(edges, starts, depth, BOTH, types)
 
 
+def existing_types(edges: DataFrame) -> DataFrame:
+    """The types that edges have."""
+    return edges.select("type").distinct()
+
+
+def known_types(asked: list[str], edges: DataFrame) -> list[str]:
+    """Those of the types asked for that edges have, in the order asked; none of them there means no result, not no filter."""
+    there = {r["type"] for r in existing_types(edges.filter(F.col("type").isin(*asked))).collect()} if asked else set()
+    return [t for t in asked if t in there]
+
+
+def scored_paths(paths: DataFrame, top: int | None = None, by: str = "start") -> DataFrame:
+    """Paths by score, the best first; of equal ones the shorter, then by nodes. rank counts within `by`."""
+    order = W.partitionBy(by).orderBy(F.desc("score"), "depth", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">"))
+    out = paths.withColumn("rank", F.row_number().over(order))
+    return out if top is None else out.filter(F.col("rank") <= top)
+
+
+def ids_of_paths(paths: DataFrame, by: str = "start") -> DataFrame:
+    """by, entity_id, kind: the distinct nodes and edges that the paths of a start go through."""
+    nodes = paths.select(by, F.explode("nodes").alias("entity_id"), F.lit("node").alias("kind"))
+    return nodes.union(paths.select(by, F.explode("eids"), F.lit("edge"))).distinct()
+
+
+def rollup(edges: DataFrame, roots: DataFrame, leaves: DataFrame, depth: int, types: list[str] | None = None) -> DataFrame:
+    """root, depth, n: the distinct nodes of `leaves` below each root, at each distance."""
+    t = traverse(edges, roots, depth, OUT, types)
+    return t.join(leaves.select(F.col("id").alias("end")), "end", "left_semi").groupBy(F.col("start").alias("root"), "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
 def path_score(length: Column, *confidences: Column) -> Column:
     mean = sum(confidences, F.lit(0.0)) / len(confidences)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 / (1 + length) + 0.4 * mean))

@@ -9,7 +9,7 @@ from ..schemas import struct
 
 
 def variants(text):
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda v: v != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, r"\|"), lambda v: F.trim(v)), lambda v: v != "")))
 
 
 def upsert(existing: DataFrame | None, entries: DataFrame) -> DataFrame:

@@ -108,14 +108,16 @@ def graph_statistics(spark, sf):
 
 @query("SELECT r_name AS region, count(DISTINCT n_nationkey) AS nations, count(c_custkey) AS customers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name")
 def hierarchy_rollup(spark, sf):
-    per = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")).join(per, F.col("n_nationkey") == F.col("c_nationkey"))
-    return n.groupBy(F.col("r_name").alias("region")).agg(F.count(F.lit(1)).alias("nations"), F.sum("n").alias("customers"))
+    regions, customers = table(spark, sf, "region"), table(spark, sf, "customer")
+    ids = lambda df, p, c: df.select(F.concat(F.lit(p), F.col(c).cast("string")).alias("id"))
+    below = G.rollup(edges(spark, sf), ids(regions, "R", "r_regionkey"), ids(table(spark, sf, "nation"), "N", "n_nationkey").union(ids(customers, "C", "c_custkey")), 2, ["CONTAINS"])
+    per = below.groupBy("root").agg(F.sum(F.when(F.col("depth") == 1, F.col("n"))).alias("nations"), F.sum(F.when(F.col("depth") == 2, F.col("n"))).alias("customers"))
+    return per.join(regions, F.col("root") == F.concat(F.lit("R"), F.col("r_regionkey").cast("string"))).select(F.col("r_name").alias("region"), "nations", "customers")
 
 
 @query(f"WITH {EDGES} SELECT DISTINCT type FROM e")
 def relationship_types_present(spark, sf):
-    return edges(spark, sf).select("type").distinct()
+    return G.existing_types(edges(spark, sf))
 
 
 @query("""

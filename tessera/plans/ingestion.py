@@ -16,6 +16,7 @@ from ..operators import extraction as E
 from ..operators import graph as G
 from ..operators import update as U
 from ..operators import vectors as V
+from ..rules import Rules
 from ..sources import files
 from ..sources.store import Store
 
@@ -34,26 +35,42 @@ def run_stages(tables: dict[str, DataFrame], stages: list[tuple[str, Stage]], sk
     return tables
 
 
-def cleaning(t: dict) -> dict:
-    return {"documents": t["documents"].withColumn("raw_text", X.clean("raw_text"))}
+def cleaning(t: dict, rules: Rules | None = None) -> dict:
+    clean = X.clean if rules is None else X.cleaner(rules.cleaning, rules.preserved)
+    return {"documents": t["documents"].withColumn("raw_text", clean("raw_text"))}
+
+
+def rewriting(rewrite: Callable) -> Stage:
+    """A stage that rewrites chunks with a column function of the caller's, where numbers, acronyms and length are kept.
+
+    `lost` tells what a refused rewrite would have lost; such a chunk stays as it was.
+    """
+
+    def stage(t: dict) -> dict:
+        c = t["chunks"].withColumn("_new", rewrite(F.col("content"))).withColumn("lost", X.preserved(F.col("content"), F.col("_new")))
+        return {"chunks": c.withColumn("content", F.when(F.col("lost").isNull() & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("content"))).drop("_new")}
+
+    return stage
 
 
 def chunking(t: dict) -> dict:
     return {"chunks": H.chunk_documents(t["documents"])}
 
 
-def extraction(t: dict) -> dict:
-    """Mentions and relations; acronyms are looked up in one dictionary over all documents."""
+def extraction(t: dict, rules: Rules | None = None) -> dict:
+    """Mentions and relations; acronyms are looked up in one dictionary over all documents. Mentions go down to child chunks."""
+    rules = rules or Rules()
     chunks = H.extraction_chunks(t["chunks"])
-    relations = E.pattern_relations(chunks).unionByName(E.verb_relations(chunks))
-    mentions = E.gazetteer_mentions(chunks)
+    relations = E.pattern_relations(chunks, rules.relation_phrases).unionByName(E.verb_relations(chunks))
+    mentions = E.gazetteer_mentions(chunks, rules.gazetteer)
     found = E.endpoint_mentions(relations, mentions).select("*", F.lit("CONCEPT").alias("type"), F.array().cast("array<string>").alias("aliases"))
     mentions = mentions.unionByName(found, allowMissingColumns=True)
     definitions = E.acronym_definitions(chunks)
     resolved = definitions.select("chunk_id", "acronym", "expansion").distinct()
     merged = K.merge_mentions(E.expand_aliases(mentions, resolved), X.normalize_name("name"), C.ENTITY_TYPES)
     judged = E.validate_relations(relations, mentions)
-    return {"mentions": merged, "relations": judged.filter("reason is null").drop("reason"), "rejected": judged.filter("reason is not null"), "acronyms": E.acronym_dictionary(definitions)}
+    below = E.propagate_to_children(merged.select("chunk_id", F.col("canonical_name").alias("name"), "type", "aliases", "confidence"), t["chunks"])
+    return {"mentions": merged, "child_mentions": below, "relations": judged.filter("reason is null").drop("reason"), "rejected": judged.filter("reason is not null"), "acronyms": E.acronym_dictionary(definitions)}
 
 
 def candidates(t: dict) -> dict:
@@ -80,18 +97,23 @@ def embedding(t: dict) -> dict:
 STAGES: list[tuple[str, Stage]] = [("cleaning", cleaning), ("chunking", chunking), ("extraction", extraction), ("candidates", candidates), ("embedding", embedding)]
 
 
-def ingest(spark: SparkSession, path: str, store: Store, force: bool = False, topics: list[str] | None = None, skip: set[str] = frozenset()) -> dict[str, int]:
+def ingest(spark: SparkSession, path: str, store: Store, force: bool = False, topics: list[str] | None = None, skip: set[str] = frozenset(), rules: Rules | None = None) -> dict[str, int]:
     """Read what is new or changed below path, and fold it into the store's tables; running it again changes nothing.
 
-    Returns how many documents were read, ingested and failed.
+    Returns how many documents were read, ingested and failed; the audit log has the rows of each stage as well.
     """
-    docs = files.read_documents(files.scan_files(spark, path))
+    return fold(store, files.read_documents(files.scan_files(spark, path)), force, topics, skip, rules)
+
+
+def fold(store: Store, docs: DataFrame, force: bool = False, topics: list[str] | None = None, skip: set[str] = frozenset(), rules: Rules | None = None) -> dict[str, int]:
+    """Documents as read_documents gives them into all tables of the store."""
+    stages = STAGES if rules is None else [(n, (lambda t, f=f: f(t, rules)) if n in ("cleaning", "extraction") else f) for n, f in STAGES]
     catalog = store.read("documents").withColumnRenamed("document_id", "id")
     docs = G.written(docs, "read")
     new = G.written(U.to_ingest(docs.filter("error is null"), catalog, force), "new")
     stale = U.outdated(new, catalog).select(F.col("id").alias("document_id"))
     redone = new.select("document_id").union(stale).distinct()
-    t = run_stages({"documents": new}, STAGES, skip)
+    t = run_stages({"documents": new}, stages, skip)
     now = F.current_timestamp()
     cols = [c.split()[0] for c in schemas.SCHEMAS["documents"].split(", ")]
     rows = new.withColumns({"ingestion_status": F.lit("completed"), "last_ingested_at": now})
@@ -111,4 +133,5 @@ def ingest(spark: SparkSession, path: str, store: Store, force: bool = False, to
         linked = new.select("document_id", F.array(*map(F.lit, topics)).alias("topics"))
         old = store.read("document_topics") if store.exists("document_topics") else None
         store.write("document_topics", K.links(old, linked, "document_id", "topics", "topic"))
+    store.record("ingest", counts | {k: t[k].count() for k in ("chunks", "mentions", "relations", "rejected") if k in t})
     return counts

@@ -12,7 +12,8 @@ from ..operators import graph as G
 from ..operators import normalization as N
 from ..operators import update as P
 from ..streaming import ingest as S
-from .registry import query, table
+from ..sources import files
+from .registry import query, table, uuid5_sql
 
 
 def mentions(spark, sf):
@@ -150,7 +151,7 @@ def cooccurrence_top(spark, sf):
     return D.cooccurrence(pairs(spark, sf), least=1, top=500)
 
 
-TOP_EDGES = f"WITH RECURSIVE {PAIR_SQL}, top AS (SELECT l, r, n FROM e ORDER BY n DESC, l, r LIMIT 200)"
+TOP_EDGES = f"WITH RECURSIVE {PAIR_SQL}, top AS (SELECT l, r, n FROM e ORDER BY n DESC, l, r LIMIT 500)"
 REACH = """, u AS (SELECT l AS a, r AS b FROM top UNION SELECT r, l FROM top),
 reach(a, b) AS (SELECT a, b FROM u UNION SELECT reach.a, u.b FROM reach JOIN u ON reach.b = u.a),
 comp AS (SELECT a AS node, min(least(a, b)) AS c FROM reach GROUP BY a)"""
@@ -158,14 +159,14 @@ comp AS (SELECT a AS node, min(least(a, b)) AS c FROM reach GROUP BY a)"""
 
 @query(f"{TOP_EDGES} {REACH} SELECT node, c AS component FROM comp")
 def cooccurrence_components(spark, sf):
-    return G.connected_components(D.cooccurrence(pairs(spark, sf), least=1, top=200))
+    return G.connected_components(D.cooccurrence(pairs(spark, sf), least=1, top=500))
 
 
 @query(f"""{TOP_EDGES} {REACH},
 s AS (SELECT c, count(*) AS size FROM comp GROUP BY c), h AS (SELECT c, round(avg(n), 6) AS cohesion FROM top JOIN comp ON node = l GROUP BY c)
-SELECT c AS component, size, cohesion, CAST(row_number() OVER (ORDER BY size DESC, c) - 1 AS INTEGER) AS cluster_id FROM s JOIN h USING (c) ORDER BY size DESC, c LIMIT 20""")
+SELECT c AS component, size, cohesion, CAST(row_number() OVER (ORDER BY size DESC, c) - 1 AS INTEGER) AS cluster_id FROM s JOIN h USING (c) ORDER BY size DESC, c LIMIT 50""")
 def cluster_cohesion(spark, sf):
-    out = D.components(D.cooccurrence(pairs(spark, sf), least=1, top=200), most=20)
+    out = D.components(D.cooccurrence(pairs(spark, sf), least=1, top=500), most=50)
     return out.select("component", "size", "cohesion", "cluster_id").distinct()
 
 
@@ -176,7 +177,7 @@ def chunk_cap(spark, sf):
 
 @query(f"{TOP_EDGES} SELECT node, CAST(sum(n) AS BIGINT) AS weight FROM (SELECT l AS node, n FROM top UNION ALL SELECT r, n FROM top) GROUP BY node ORDER BY weight DESC, node LIMIT 75")
 def node_weights(spark, sf):
-    return D.node_weights(D.cooccurrence(pairs(spark, sf), least=1, top=200))
+    return D.node_weights(D.cooccurrence(pairs(spark, sf), least=1, top=500))
 
 
 @query()
@@ -225,8 +226,9 @@ def auto_approve_existing(spark, sf):
 
 
 def relation_candidates(spark, sf):
-    l = table(spark, sf, "lineitem").filter("l_linenumber = 1")
-    return l.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.when(F.col("l_returnflag") == "R", "CONTAINS").when(F.col("l_returnflag") == "A", "SUPPORTS").otherwise("ODD").alias("type"), F.col("l_discount").alias("confidence_score"), F.col("l_orderkey").cast("string").alias("candidate_key"), F.array(F.col("l_orderkey").cast("string")).alias("source_documents"))
+    l = table(spark, sf, "lineitem")
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    return l.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.when(F.col("l_returnflag") == "R", "CONTAINS").when(F.col("l_returnflag") == "A", "SUPPORTS").otherwise("ODD").alias("type"), F.col("l_discount").alias("confidence_score"), key.alias("candidate_key"), F.array(F.col("l_orderkey").cast("string")).alias("source_documents"))
 
 
 def normalization_rows(spark, sf):
@@ -237,19 +239,19 @@ def normalization_rows(spark, sf):
 
 @query("""
 SELECT 'E-s' || l_suppkey AS source_entity_id, 'E-p' || l_partkey AS target_entity_id, CASE l_returnflag WHEN 'R' THEN 'CONTAINS' ELSE 'SUPPORTS' END AS type, round(max(l_discount), 6) AS confidence, count(DISTINCT l_orderkey) AS documents
-FROM lineitem WHERE l_linenumber = 1 AND l_returnflag IN ('R', 'A') AND l_suppkey % 2 = 0 AND l_partkey % 3 = 0 GROUP BY ALL""")
+FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_suppkey % 2 = 0 AND l_partkey % 3 = 0 GROUP BY ALL""")
 def edge_promotion(spark, sf):
     e = U.promote_relations(relation_candidates(spark, sf), normalization_rows(spark, sf))
     return e.select("source_entity_id", "target_entity_id", "type", F.round("confidence_score", 6).alias("confidence"), F.size("source_documents").cast("long").alias("documents"))
 
 
 @query("""
-SELECT CAST(l_orderkey AS VARCHAR) AS candidate_key, 's' || l_suppkey AS key, 'p' || l_partkey AS peer,
+SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS candidate_key, 's' || l_suppkey AS key, 'p' || l_partkey AS peer,
        CASE WHEN l_partkey % 3 = 0 THEN 'promotable' WHEN l_partkey % 3 = 1 THEN 'resolvable' ELSE 'missing' END AS issue
-FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 5 = 0""")
+FROM lineitem""")
 def peer_status(spark, sf):
     r = relation_candidates(spark, sf).withColumn("status", F.lit("pending"))
-    keys = table(spark, sf, "supplier").filter("s_suppkey % 5 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"))
+    keys = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"))
     p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("candidate_key"), F.col("p_name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
     cand = p.filter("p_partkey % 3 = 1").withColumn("status", F.lit("pending"))
     ents = p.filter("p_partkey % 3 = 0").withColumn("status", F.lit("approved"))
@@ -308,10 +310,8 @@ def update_catalog(spark, sf):
 
 @query("SELECT event_type AS intent, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS share, round(avg(value), 4) AS mean FROM events GROUP BY event_type")
 def history_stats(spark, sf):
-    e = table(spark, sf, "events")
-    by = e.groupBy(F.col("event_type").alias("intent")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
-    total = e.agg(F.count(F.lit(1)).alias("all"))
-    return by.crossJoin(F.broadcast(total)).select("intent", "n", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("share"), "mean")
+    e = table(spark, sf, "events").select(F.col("event_type").alias("intent"), F.col("value").alias("intent_confidence"))
+    return files.history_statistics(e).select("intent", "n", F.round("share", 4).alias("share"), F.round("mean_confidence", 4).alias("mean"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -327,23 +327,27 @@ def audit_sessions(spark, sf):
     return S.sessions(table(spark, sf, "events"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.' || k) AS value, k AS key FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS source, CAST(user_id AS VARCHAR) AS document_id, CASE WHEN event_id % 3 > 0 THEN 'c' || event_id END AS chunk_id,
+       CASE WHEN event_id % 3 > 0 THEN value END AS confidence FROM events""")
 def provenance_json(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
-    return e
+    """Events as JSON provenance, every third as a bare list of documents."""
+    e = table(spark, sf, "events")
+    event = F.to_json(F.struct(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("document_id"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("chunk_id"), F.col("value").alias("confidence")))
+    rows = e.select("event_id", F.when(F.col("event_id") % 3 > 0, F.array(event)).otherwise(F.array().cast("array<string>")).alias("provenance_events"), F.array(F.col("user_id").cast("string")).alias("source_documents"))
+    return U.expand_provenance(rows).select("event_id", F.explode("provenance").alias("p")).select("event_id", "p.*")
 
 
 @query("SELECT DISTINCT source AS topic FROM documents WHERE source IS NOT NULL")
 def list_topics(spark, sf):
-    return table(spark, sf, "documents").filter("source is not null").select(F.col("source").alias("topic")).distinct()
+    return K.topics_of(table(spark, sf, "documents").withColumnRenamed("source", "topic"))
 
 
 @query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src3')")
 def topic_filter(spark, sf):
-    topics = table(spark, sf, "documents").filter(F.col("source").isin("src1", "src3")).select("source").distinct()
-    return table(spark, sf, "documents").join(F.broadcast(topics), "source", "left_semi").select("doc_id")
+    return K.of_topics(table(spark, sf, "documents"), ["src1", "src3"], "source").select("doc_id")
 
 
-@query()
+@query(f"SELECT doc_id, {uuid5_sql("sha256(coalesce(text, ''))")} AS document_id FROM documents")
 def document_ids(spark, sf):
     return table(spark, sf, "documents").select("doc_id", schemas.uuid5(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("document_id"))

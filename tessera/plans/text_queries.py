@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from .. import schemas
 from ..functions import query as Q
 from ..functions import text as X
+from ..operators import candidates as K
 from ..operators import chunking as H
 from ..operators import extraction as E
 from ..operators import search as B
@@ -43,12 +46,17 @@ def whitespace_normalize(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(X.normalize_whitespace(F.col("text"))).alias("md5"))
 
 
-@query()
-def clean_text(spark, sf):
-    return docs(spark, sf).select("doc_id", "text", X.clean("text").alias("c")).select("doc_id", F.md5("c").alias("md5"), *X.cleaning_stats(F.col("text"), F.col("c")))
+def _cleaning_sql() -> str:
+    """The removal chain and the white-space steps as nested replacements."""
+    out = "text"
+    steps = [(p.replace("(?i)", "(?mi)") if p.startswith("(?i)") else "(?m)" + p, "''") for category in C.CLEANING.values() for p in category]
+    steps += [(" {2,}", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), ("(?m) +$", "''"), (r"(?m)^\s+$", "''"), (r"[\t\r\f\v]", "' '"), (r"^\s+|\s+$", "''")]
+    for pattern, new in steps:
+        out = f"regexp_replace({out}, '{re.sub(r'(?<![\\])[.](?=[*])', '[^' + chr(92) + 'n]', pattern)}', {new}, 'g')"
+    return out
 
 
-@query()
+@query(f"SELECT doc_id, md5(c) AS md5, length(c) AS n FROM (SELECT doc_id, {_cleaning_sql()} AS c FROM documents)")
 def clean_text_sql(spark, sf):
     c = X.clean_sql(F.col("text"))
     return docs(spark, sf).select("doc_id", F.md5(c).alias("md5"), F.char_length(c).cast("long").alias("n"))
@@ -64,17 +72,6 @@ def slug(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", X.slug(F.col("c_name")).alias("slug"))
 
 
-@query()
-def candidate_ids(spark, sf):
-    key = schemas.candidate_key(F.lit("COMPONENT"), F.col("p_name"), F.col("p_partkey").cast("string"))
-    return table(spark, sf, "part").select("p_partkey", key.alias("candidate_key"), schemas.candidate_id(key).alias("id"))
-
-
-@query()
-def normalize_names(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", X.normalize_name("p_name").alias("normalized"), X.display_name("p_name").alias("display"))
-
-
 @query(r"""
 WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS ws FROM conversations)
 SELECT a.conv_id, a.turn, round(CASE WHEN len(a.ws) = 0 OR len(b.ws) = 0 THEN 0
@@ -91,53 +88,32 @@ def chunked(spark, sf):
     return H.chunk_documents(d)
 
 
-@query()
-def sentence_chunks(spark, sf):
-    return chunked(spark, sf).filter("level = 4").select("document_id", "hierarchy_path", "token_count", F.md5("content").alias("md5"))
-
-
-@query()
-def chunk_stats(spark, sf):
-    return H.chunk_statistics(chunked(spark, sf))
-
-
-@query("SELECT doc_id, length(trim(text, ' ')) AS n FROM documents WHERE length(trim(text, ' ')) >= 100")
+@query(rf"""
+SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(i AS VARCHAR) AS hierarchy_path, md5(t) AS md5, CAST(floor({WORDS.replace('coalesce(text', 'coalesce(t')} * CAST(1.3 AS DOUBLE)) AS BIGINT) AS token_count
+FROM (SELECT doc_id, i, trim(p[i], ' ') AS t FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '
+\s*
+') AS p FROM documents)))
+WHERE length(t) >= 100""")
 def paragraph_filter(spark, sf):
-    return docs(spark, sf).filter(F.char_length(F.trim("text")) >= 100).select("doc_id", F.char_length(F.trim("text")).cast("long").alias("n"))
+    """Paragraphs of at least 100 characters, each a chunk whatever its length."""
+    d = docs(spark, sf).select(F.col("doc_id").cast("string").alias("document_id"), F.lit("root").alias("chunk_id"), F.lit("").alias("hierarchy_path"), F.lit("").alias("section_title"), F.col("text").alias("content"))
+    return H.paragraph_chunks(d, max_tokens=1 << 40).select("document_id", "hierarchy_path", F.md5("content").alias("md5"), "token_count")
 
 
 @query("SELECT sha256(coalesce(text, '')) AS checksum, count(*) AS n, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def checksum_dedup(spark, sf):
-    return docs(spark, sf).groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("checksum")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).filter("n > 1")
+    return K.duplicate_checksums(docs(spark, sf), F.sha2(F.coalesce("text", F.lit("")), 256), "doc_id")
 
 
-@query(r"SELECT doc_id, t AS token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][A-Z]+')) AS t FROM documents) GROUP BY ALL")
+@query(rf"SELECT CAST(doc_id AS VARCHAR) AS chunk_id, t AS acronym, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '{C.ACRONYM}')) AS t FROM documents) WHERE regexp_matches(t, '[A-Z]') GROUP BY ALL")
 def acronym_tokens(spark, sf):
-    t = F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Z]+"), F.lit(0)))
-    return docs(spark, sf).select("doc_id", t.alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return E.acronym_tokens(as_chunks(spark, sf))
 
 
 def as_chunks(spark, sf):
     return docs(spark, sf).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.col("text").alias("content"))
 
 
-@query()
-def acronym_dictionary(spark, sf):
-    d = E.acronym_dictionary(E.acronym_definitions(as_chunks(spark, sf)))
-    return d.select("acronym", "expansion", "n", F.round("share", 6).alias("share"))
-
-
-@query()
-def pattern_relations(spark, sf):
-    return E.pattern_relations(as_chunks(spark, sf))
-
-
-@query()
-def gazetteer_mentions(spark, sf):
-    m = E.gazetteer_mentions(as_chunks(spark, sf))
-    return m.select("chunk_id", "name", "type", "start_char", "end_char", F.round("confidence", 6).alias("confidence"))
-
-
 def _hits_sql(family: str) -> str:
     return " + ".join(f"CAST(regexp_matches(q, '(?i){p}') AS INTEGER)" for p in C.INTENT_PATTERNS[family])
 
@@ -169,12 +145,6 @@ def relationship_keywords(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", F.array_join(F.array_sort(Q.relationship_types(q)), ",").alias("types"))
 
 
-@query()
-def constraints(spark, sf):
-    q = X.normalize_query(F.coalesce("text", F.lit("")))
-    return turns(spark, sf).select("conv_id", "turn", F.explode(Q.constraints(q)).alias("c")).select("conv_id", "turn", "c.field", "c.operator", "c.value")
-
-
 @query(f"""
 SELECT conv_id, turn, coalesce(TRY_CAST(regexp_extract(q, '(?i)\\b(\\d+)\\s*(?:levels?|hops?|degrees?)\\b', 1) AS INTEGER),
        CASE WHEN regexp_matches(lower(q), 'direct|immediate|first') THEN 1 ELSE 3 END) AS depth
@@ -184,12 +154,6 @@ def traversal_depth(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", Q.max_depth(q).alias("depth"))
 
 
-@query()
-def parsed_questions(spark, sf):
-    p = Q.parse(turns(spark, sf).filter("role = 'user'").withColumn("text", F.coalesce("text", F.lit(""))))
-    return p.select("conv_id", "turn", "intent", "strategy", "traversal", "requires_graph_traversal", "is_complex", "max_depth", F.size("keywords").alias("keywords"))
-
-
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
 

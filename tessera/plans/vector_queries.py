@@ -33,14 +33,14 @@ def knn_sql(where_q: str, k: int, where_p: str = "true") -> str:
     WHERE rank <= {k}"""
 
 
-@query(knn_sql("q.vec_id = 0", 20))
+@query(knn_sql("q.vec_id % 50 = 0", 20))
 def knn_topk(spark, sf):
-    return shown(V.knn(points(spark, sf), asked(spark, sf).filter("query_id = 0"), k=20, least=None))
+    return shown(V.knn(points(spark, sf), asked(spark, sf), k=20, least=None))
 
 
-@query(knn_sql("q.vec_id = 0", 20, "p.label = 3"))
+@query(knn_sql("q.vec_id % 50 = 0", 20, "p.label = 3"))
 def knn_filtered(spark, sf):
-    return shown(V.knn(V.payload_filter(points(spark, sf), level=3), asked(spark, sf).filter("query_id = 0"), k=20, least=None))
+    return shown(V.knn(V.payload_filter(points(spark, sf), level=3), asked(spark, sf), k=20, least=None))
 
 
 @query(knn_sql("q.vec_id % 50 = 0", 10))
@@ -82,13 +82,6 @@ def similarity_clusters(spark, sf):
     return G.connected_components(V.similar_pairs(points(spark, sf), CLOSE))
 
 
-@query()
-def merge_suggestions(spark, sf):
-    p = points(spark, sf).withColumns({"mention_count": F.col("id") % 7 + 1, "description": F.lit(""), "name": F.col("id").cast("string")})
-    pairs = V.similar_pairs(p, CLOSE)
-    return V.merge_suggestions(pairs, V.clusters(pairs, p), p).withColumns({c: F.round(c, 5) for c in ("similarity", "confidence")})
-
-
 HITS = f"SELECT q.vec_id AS query_id, p.vec_id AS chunk_id, {COS.format(a='q.embedding', b='p.embedding')} AS s FROM embeddings q, embeddings p WHERE q.vec_id % 50 = 0"
 TOP = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS n FROM ({HITS})) WHERE n <= 20"
 
@@ -174,12 +167,35 @@ def with_content(spark, sf):
     return hits(spark, sf).join(docs, "chunk_id")
 
 
-@query()
+#: The hits of each question with their words' likeness to one another.
+GREEDY = rf"""
+WITH RECURSIVE h AS (SELECT query_id, chunk_id, {{score}} AS s, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS ws FROM ({TOP}) JOIN documents ON doc_id = chunk_id),
+     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS i FROM h),
+     sim AS (SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, CASE WHEN len(a.ws) = 0 OR len(b.ws) = 0 THEN 0.0 ELSE len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) END AS j
+             FROM o a JOIN o b ON a.query_id = b.query_id AND a.chunk_id <> b.chunk_id),
+     g(query_id, step, chosen, chunk_id, v, near) AS (
+       SELECT query_id, 1, [chunk_id], chunk_id, CAST(s AS DOUBLE), CAST(0 AS DOUBLE) FROM o WHERE i = 1
+       UNION ALL
+       SELECT query_id, step + 1, list_append(chosen, best.c), best.c, best.v, best.near FROM (
+         SELECT query_id, step, chosen, arg_max({{{{'c': c, 'v': v, 'near': near}}}}, row(v, -i)) AS best FROM (
+           SELECT g.query_id, g.step, g.chosen, o.chunk_id AS c, o.i, max(sim.j) AS near, {{value}} AS v
+           FROM g JOIN o ON o.query_id = g.query_id AND NOT list_contains(g.chosen, o.chunk_id) JOIN sim ON sim.query_id = g.query_id AND sim.a = o.chunk_id AND list_contains(g.chosen, sim.b)
+           GROUP BY g.query_id, g.step, g.chosen, o.chunk_id, o.i, o.s) GROUP BY query_id, step, chosen))"""
+
+
+def greedy(score: str, value: str) -> str:
+    return GREEDY.replace("{score}", score).replace("{value}", value).replace("{{", "{").replace("}}", "}")
+
+
+@query(greedy("s", "0.5 * o.s - (1 - 0.5) * max(sim.j)") + """
+SELECT g.query_id, g.chunk_id, round(o.s, 5) AS score, CAST(step AS INTEGER) AS mmr_rank FROM g JOIN o ON o.query_id = g.query_id AND o.chunk_id = g.chunk_id""")
 def mmr_rerank(spark, sf):
     return R.mmr(with_content(spark, sf)).withColumn("score", F.round("score", 5))
 
 
-@query()
+@query(greedy(FUSED, "o.s * (1 - 0.05) + 0.05 * (1 - max(sim.j))") + """
+SELECT query_id, chunk_id, round(v, 5) AS final_score, round(1 - near, 5) AS diversity_score, rank FROM
+  (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY v DESC, step) AS INTEGER) AS rank FROM g) WHERE rank <= 10""")
 def diversity_rerank(spark, sf):
     fused = R.fuse(signals(with_content(spark, sf).drop("rank")))
     return R.diversify(fused).withColumns({c: F.round(c, 5) for c in ("final_score", "diversity_score")})

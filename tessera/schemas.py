@@ -11,6 +11,7 @@ PROVENANCE = "array<struct<source:string,document_id:string,chunk_id:string,conf
 SCHEMAS = {
     "documents": "document_id string, filename string, title string, version string, date string, author string, page_count int, checksum string, file_path string, ingestion_status string, ingestion_error string, last_ingested_at timestamp, raw_text string",
     "chunks": "chunk_id string, document_id string, level int, parent_chunk_id string, hierarchy_path string, section_title string, content string, token_count long, entity_ids array<string>",
+    "chunk_vectors": "chunk_id string, document_id string, level int, vec array<double>",
     "mentions": "name string, type string, description string, aliases array<string>, confidence double, chunk_id string, document_id string, source string, start_char int, end_char int, sentence string, context string",
     "entity_candidates": "id string, candidate_key string, canonical_name string, candidate_type string, aliases array<string>, description string, confidence_score double, status string, mention_count long, source_documents array<string>, chunk_ids array<string>, conflicting_types array<string>, provenance_events array<string>, first_seen timestamp, last_seen timestamp",
     "relationship_candidates": "id string, candidate_key string, source string, target string, type string, description string, confidence_score double, status string, mention_count long, source_documents array<string>, chunk_ids array<string>, provenance_events array<string>, first_seen timestamp, last_seen timestamp",

@@ -22,12 +22,12 @@ def scan_files(spark: SparkSession, path: str, text: bool = True) -> DataFrame:
 
 
 def read_documents(files: DataFrame, pdf=None) -> DataFrame:
-    """Documents table; a suffix without a reader leaves an error in the row.
+    """Documents table; a suffix without a reader leaves an error in the row. Bytes that are no UTF-8 become U+FFFD.
 
     pdf: column function from binary content to text, a plug-in where a PDF library is at hand.
     """
     is_text = F.col("suffix").isin(*TEXT_SUFFIXES)
-    raw = F.when(is_text, F.decode("content", "UTF-8"))
+    raw = F.when(is_text, F.make_valid_utf8(F.col("content").cast("string")))
     if pdf is not None:
         raw = raw.when(F.col("suffix") == "pdf", pdf(F.col("content")))
     told = lambda r: F.struct(  # noqa: E731  what follows from a text, which is a lambda's argument and so decoded once
@@ -43,6 +43,16 @@ def read_documents(files: DataFrame, pdf=None) -> DataFrame:
     return docs.select(schemas.uuid5(F.col("checksum")).alias("document_id"), "*", error.alias("error")).drop("suffix")
 
 
+def pdf_metadata(info: DataFrame) -> DataFrame:
+    """document_id, title, author, date, page_count, version of PDF info rows (document_id, info map, page_count, first_page).
+
+    Blank entries count as missing; the date is that of creation, else of change, else what the first page says.
+    """
+    said = lambda k: F.nullif(F.trim(F.try_element_at("info", F.lit(k))), F.lit(""))
+    date = F.coalesce(pdf_date(said("CreationDate")), pdf_date(said("ModDate")), date_of(F.col("first_page")))
+    return info.select("document_id", said("Title").alias("title"), said("Author").alias("author"), date.alias("date"), "page_count", version_of(F.col("first_page")).alias("version"))
+
+
 def _first(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
 
@@ -78,8 +88,11 @@ def pdf_sections(items: DataFrame) -> DataFrame:
     return x.groupBy("document_id", "s", "u").agg(F.min_by("text", "pos").alias("title"), F.array_join(F.transform(body, lambda i: i["text"]), "\n").alias("content"))
 
 
+TABLES, FIGURES = ("table",), ("figure", "picture", "image")
+
+
 def pdf_elements(items: DataFrame, labels: tuple[str, ...]) -> DataFrame:
-    """Tables or figures with their position among those of the document."""
+    """Tables or figures with their position among those of the document, and what else the items tell (text, page)."""
     from pyspark.sql import Window as W
 
     return items.filter(F.col("label").isin(*labels)).withColumn("position", F.row_number().over(W.partitionBy("document_id").orderBy("pos")))
@@ -102,7 +115,8 @@ def error_streak(docs: DataFrame, order: str, most: int = 5) -> DataFrame:
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of (label, pattern); bad lines are left out."""
     raw = spark.read.schema("label string, pattern string, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return raw.cache().filter("_corrupt_record is null and label is not null").drop("_corrupt_record")
+    # Spark answers a scan of the corrupt record alone without parsing, so the other columns are asked for with it.
+    return raw.filter(F.col("label").isNotNull() & F.col("pattern").isNotNull() & F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
 def read_yaml(path: str, defaults: dict | None = None, env: dict | None = None) -> dict:
@@ -120,6 +134,12 @@ def deep_merge(base: dict, over: dict) -> dict:
     return out
 
 
+def history_statistics(history: DataFrame) -> DataFrame:
+    """intent, n, share in percent, mean confidence of logged questions."""
+    by = history.groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.avg("intent_confidence").alias("mean_confidence"))
+    return by.crossJoin(F.broadcast(history.agg(F.count(F.lit(1)).alias("all")))).select("intent", "n", (100.0 * F.col("n") / F.col("all")).alias("share"), "mean_confidence")
+
+
 def query_history(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Logged questions, newest first."""
     schema = "query_id string, original_text string, intent string, intent_confidence double, entity_mentions array<string>, keywords array<string>, requires_graph_traversal boolean, timestamp timestamp"

@@ -69,6 +69,50 @@ class Store:
         return {t: self.exists(t) for t in schemas.SCHEMAS}
 
 
+    def create(self, tables: tuple[str, ...] | None = None, recreate: bool = False) -> list[str]:
+        """Empty tables with the schemas, where there are none; with recreate, instead of those there are."""
+        made = []
+        for t in tables or tuple(schemas.SCHEMAS):
+            if recreate:
+                self.drop(t)
+            if not self.exists(t):
+                self.write(t, self.spark.createDataFrame([], schemas.struct(t)))
+                made.append(t)
+        return made
+
+    def set_status(self, document_id: str, status: str, error: str | None = None) -> None:
+        """A document's step in ingestion: ingesting, completed or failed; a failed one loses its chunks."""
+        if status not in ("ingesting", "completed", "failed"):
+            raise ValueError(f"unknown status {status}")
+        docs = self.read("documents")
+        hit = F.col("document_id") == document_id
+        self.write("documents", docs.withColumns({"ingestion_status": F.when(hit, status).otherwise(F.col("ingestion_status")), "ingestion_error": F.when(hit, F.lit(error)).otherwise(F.col("ingestion_error"))}))
+        if status == "failed":
+            for t in ("chunks", "chunk_vectors"):
+                if self.exists(t):
+                    self.write(t, self.read(t).filter(~hit))
+
+    def record(self, event: str, payload: dict) -> None:
+        """One line in the audit log."""
+        import json
+
+        row = self.spark.range(1).select(F.current_timestamp().alias("at"), F.lit(event).alias("event"), F.lit(json.dumps(payload)).alias("payload"))
+        self.append_log("audit", row)
+
+    def log(self, name: str, schema: str) -> DataFrame:
+        fs, p = self._fs(f"{self.root}/logs/{name}")
+        return self.spark.read.schema(schema).json(f"{self.root}/logs/{name}") if fs.exists(p) else self.spark.createDataFrame([], schema)
+
+
+def by_key(table: DataFrame, key: str, columns: tuple[str, ...] = ("id", "candidate_key")) -> DataFrame:
+    """Rows whose identifier, or candidate key, is the one asked for."""
+    hit = F.lit(False)
+    for c in columns:
+        if c in table.columns:
+            hit = hit | (F.col(c) == key)
+    return table.filter(hit)
+
+
 def by_ids(table: DataFrame, ids: DataFrame, column: str = "id", limit: int | None = None) -> DataFrame:
     rows = table.join(ids.select(column).distinct(), column, "left_semi")
     return rows if limit is None else rows.orderBy(column).limit(limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates as K
+from ..plans import ingestion
 from ..sources import files
 from ..sources.store import Store
 
@@ -20,12 +20,14 @@ def document_stream(spark: SparkSession, path: str, max_files: int = 1000) -> Da
 
 
 def ingest_stream(spark: SparkSession, path: str, store: Store, checkpoint: str, trigger: dict | None = None):
-    """Each batch of new files goes through the batch reader into `documents`; a batch that is run again changes nothing."""
+    """Each batch of new files goes through the same plan as a batch run: documents, chunks, vectors and candidates.
+
+    A batch that is run again changes nothing. A batch writes a new version of the tables, so
+    triggers should gather many files.
+    """
 
     def batch(df: DataFrame, _epoch: int) -> None:
-        docs = files.read_documents(df)
-        cols = [c for c in docs.columns if c in store.read("documents").columns]
-        store.write("documents", K.upsert_rows(store.read("documents"), docs.select(*cols), "document_id"))
+        ingestion.fold(store, files.read_documents(df))
 
     stream = document_stream(spark, path).withWatermark("modificationTime", "1 hour").dropDuplicatesWithinWatermark(["path", "checksum"])
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
