@@ -164,12 +164,15 @@ SOURCE_WEIGHT = {"llm": 1.0, "spacy": 0.9}
 def merge_mentions(mentions: DataFrame, normalized: Column, allowed: tuple[str, ...] | None = None) -> DataFrame:
     """Mentions of one chunk with the same normalised name, or bridged by an alias of it, become one candidate.
 
-    Within a chunk a mention's group is the least name reachable over shared alias names in
-    one step (its own name, or that of a mention which lists it as an alias).
+    Within a chunk a mention's group is its own name, or that of the mention which lists it
+    as an alias, and so on over eight steps at most.
     """
     m = mentions if allowed is None else mentions.filter(F.col("type").isin(*allowed))
     m = m.withColumn("_n", normalized).withColumn("_a", F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(F.trim(a))))
     alias = m.select("chunk_id", F.col("_n").alias("_owner"), F.explode("_a").alias("_n")).filter("_n <> _owner").groupBy("chunk_id", "_n").agg(F.min("_owner").alias("_owner"))
+    for _ in range(3):  # an owner's owner: the way doubles each time
+        up = alias.select("chunk_id", F.col("_n").alias("_owner"), F.col("_owner").alias("_up"))
+        alias = alias.join(up, ["chunk_id", "_owner"], "left").select("chunk_id", "_n", F.coalesce("_up", "_owner").alias("_owner"))
     m = m.join(alias, ["chunk_id", "_n"], "left").withColumn("_g", F.coalesce("_owner", "_n"))
     weight = F.col("confidence") * F.when(F.col("source") == "spacy", SOURCE_WEIGHT["spacy"]).otherwise(SOURCE_WEIGHT["llm"])
     kinds = type_vote(m, ["chunk_id", "_g"], weight=weight)

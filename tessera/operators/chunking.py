@@ -11,9 +11,9 @@ from ..functions import text as X
 
 
 def infer_title(text: Column, path: Column) -> Column:
-    """First `# ` heading of Markdown, else the first line that isn't blank (200 characters), else the file's stem."""
+    """First `# ` heading of Markdown (which PDF text is read as), else the first line that isn't blank (200 characters), else the file's stem."""
     stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
-    heading = F.when(F.lower(path).rlike(r"\.(md|markdown)$"), F.trim(F.regexp_extract(text, r"(?m)^\s*# (.*)$", 1)))
+    heading = F.when(F.lower(path).rlike(r"\.(md|markdown|pdf)$"), F.trim(F.regexp_extract(text, r"(?m)^\s*# (.*)$", 1)))
     line = F.substring(F.trim(F.regexp_extract(text, r"(?m)^[^\S\n]*(\S[^\n]*)$", 1)), 1, 200)
     return F.coalesce(F.nullif(heading, F.lit("")), F.nullif(line, F.lit("")), stem)
 

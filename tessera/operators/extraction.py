@@ -68,19 +68,39 @@ def gazetteer_mentions(chunks: DataFrame, gazetteer: dict[str, tuple[str, ...]]
     pattern = r"(?i)\b(?:" + "|".join(t.replace(" ", r"\s+") for t in terms) + r")\b"
     found = F.regexp_extract_all("content", F.lit(pattern), F.lit(0))
     gaps = F.split("content", pattern, -1)
-    each = chunks.select("chunk_id", "document_id", "content", F.posexplode(F.arrays_zip(found.alias("m"), gaps.alias("g"))).alias("p", "x"))
+    pieces = chunks.filter(F.col("content").rlike(pattern)).select("chunk_id", "document_id", found.alias("ms"), gaps.alias("gs"))
+    each = pieces.select("chunk_id", "document_id", F.posexplode(_with_context(F.col("gs"), F.col("ms"), 80)).alias("p", "x"))
     end = F.sum(F.char_length("x.g") + F.coalesce(F.char_length("x.m"), F.lit(0))).over(W.partitionBy("chunk_id").orderBy("p"))
     each = each.withColumn("end_char", end).filter("x.m is not null").withColumn("name", F.col("x.m"))
     each = each.withColumn("start_char", F.col("end_char") - F.char_length("name"))
     kinds = F.create_map(*[F.lit(x) for kv in kind_of.items() for x in kv])
     each = each.withColumn("type", kinds[F.regexp_replace(F.lower("name"), r"\s+", " ")])
-    each = each.withColumn("context", X.context_window(F.col("content"), F.col("start_char"), F.col("end_char")))
+    each = each.withColumn("context", F.col("x.c"))
     return each.withColumn("confidence", mention_confidence(F.lit(0.68), F.col("name"), F.col("type"), F.col("context"))).filter(F.col("confidence") >= least).select(
         "name", "type", F.lit(None).cast("string").alias("description"), F.array().cast("array<string>").alias("aliases"), "confidence", "chunk_id", "document_id",
         F.lit("spacy").alias("source"), F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"), "context",
     )
 
 
+def _with_context(gaps: Column, matches: Column, window: int) -> Column:
+    """array of struct(g, m, c): each gap, the match after it, and the match with `window` characters on either side.
+
+    So much of a text, and no more, goes along with a match. A match has a character at
+    least, so as many pieces on either side hold the window.
+    """
+    flat = F.flatten(F.zip_with(gaps, matches, lambda g, m: F.array(g, F.coalesce(m, F.lit("")))))
+
+    def one(f: Column, i: Column) -> Column:
+        first = F.greatest(F.lit(1), 2 * i + 1 - 2 * window)
+        before = F.right(F.array_join(F.slice(f, first, 2 * i + 2 - first), ""), F.lit(window))
+        after = F.left(F.array_join(F.slice(f, 2 * i + 3, F.lit(2 * window + 1)), ""), F.lit(window))
+        m = F.get(matches, i)
+        return F.struct(F.get(gaps, i).alias("g"), m.alias("m"), F.trim(F.concat(before, m, after)).alias("c"))
+
+    of = lambda f: F.transform(F.sequence(F.lit(0), F.size(gaps) - 1), lambda i: one(f, i))
+    return F.get(F.transform(F.array(flat), of), F.lit(0))
+
+
 def mention_confidence(base: Column, name: Column, kind: Column, context: Column) -> Column:
     low = F.lower(context)
     salient = F.lit(False)

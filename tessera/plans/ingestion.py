@@ -17,7 +17,7 @@ from ..operators import graph as G
 from ..operators import update as U
 from ..operators import vectors as V
 from ..rules import Rules
-from ..sources import files
+from ..sources import files, pdf
 from ..sources.store import Store
 
 Stage = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
@@ -102,7 +102,7 @@ def ingest(spark: SparkSession, path: str, store: Store, force: bool = False, to
 
     Returns how many documents were read, ingested and failed; the audit log has the rows of each stage as well.
     """
-    return fold(store, files.read_documents(files.scan_files(spark, path)), force, topics, skip, rules)
+    return fold(store, files.read_documents(files.scan_files(spark, path), pdf.text), force, topics, skip, rules)
 
 
 def fold(store: Store, docs: DataFrame, force: bool = False, topics: list[str] | None = None, skip: set[str] = frozenset(), rules: Rules | None = None) -> dict[str, int]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import update as U
-from ..sources import files
+from ..sources import files, pdf
 from ..sources.store import Store
 from . import ingestion
 
@@ -17,7 +17,7 @@ def update(spark: SparkSession, path: str, store: Store, dry_run: bool = False)
 
     Returns how many there are of each; with dry_run nothing is written.
     """
-    scan = files.read_documents(files.scan_files(spark, path)).select(F.col("file_path").alias("path"), "checksum")
+    scan = files.read_documents(files.scan_files(spark, path), pdf.text).select(F.col("file_path").alias("path"), "checksum")
     catalog = store.read("documents").withColumn("id", F.col("document_id"))
     roots = [path.rstrip("/")]
     changes = G.written(U.detect_changes(scan, U.in_scope(catalog, roots), roots), "changes")

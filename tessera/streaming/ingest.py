@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import ingestion
-from ..sources import files
+from ..sources import files, pdf
 from ..sources.store import Store
 
 
@@ -27,7 +27,7 @@ def ingest_stream(spark: SparkSession, path: str, store: Store, checkpoint: str,
     """
 
     def batch(df: DataFrame, _epoch: int) -> None:
-        ingestion.fold(store, files.read_documents(df))
+        ingestion.fold(store, files.read_documents(df, pdf.text))
 
     stream = document_stream(spark, path).withWatermark("modificationTime", "1 hour").dropDuplicatesWithinWatermark(["path", "checksum"])
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
