@@ -85,32 +85,31 @@ class WordTokenizer:
         if ids is None:
             # Only printable ASCII stands for itself; control characters have letters of their own.
             letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
-            self.words[word] = ids
+            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
         return ids
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = self.chunks.get(chunk)
-        if ids is None:
-            ids = b"".join(map(self._word, PIECES.findall(chunk)))
-            self.chunks[chunk] = ids
-        return ids
+    def _learn(self, chunks: set[str]) -> None:
+        """The ids of chunks not seen before; full caches start anew."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        for c in chunks:
+            self.chunks[c] = self._word(c) if c.isalpha() else b"".join(map(self._word, PIECES.findall(c)))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
         if not self.short_way or (ODD_ASCII if text.isascii() else ODD).search(text) or any(a in text for a in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         chunks = text.lower().split()
-        try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:
-            out = []
-            for i in range(0, len(chunks), CACHE_WORDS // 4):
-                for cache in (self.chunks, self.words):
-                    if len(cache) > CACHE_WORDS:
-                        cache.clear()
-                out.append(b"".join(map(self._chunk, chunks[i : i + CACHE_WORDS // 4])))
-            return b"".join(out)
+        out = []
+        for i in range(0, len(chunks), CACHE_WORDS // 4):
+            part = chunks[i : i + CACHE_WORDS // 4]
+            new = set(part).difference(self.chunks)
+            if len(self.chunks) + len(new) > CACHE_WORDS:
+                self.chunks.clear()
+                new = set(part)
+            self._learn(new)
+            out.append(b"".join(map(self.chunks.__getitem__, part)))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
