@@ -44,6 +44,7 @@ JOINED = re.compile(rf"[{LATTICE}]+(?:(?:(?![{LATTICE}])[\W_])+[{LATTICE}]+)+")
 DISGUISED = re.compile(r"(?=.*[a-z])(?=.*[^a-z]).{3,}|.*([a-z])\1.*")
 SPACED = re.compile(r"(?<!\S)(?:[a-z0-9@$!|+][.,;:_*~-]*[ \t]+){2,}[a-z0-9@$!|+](?![^\s.,;:?!])")
 SAME = re.compile(r"(.)\1{16,}")
+SUSPECT = re.compile(rf"([a-z])\1|[{''.join(c for c in LOOKALIKES if c.isalpha())}]")
 TRIM = ".,;:?!\"'()[]{}"
 
 
@@ -94,19 +95,21 @@ def letter_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(p).astype(np.float32).ravel()
 
 
+def _option(c: str, spaced: bool) -> list[tuple[str, float]]:
+    if "a" <= c <= "z":
+        return [(c, 0.0)]
+    if c in LOOKALIKES:
+        return [(x, DISGUISE) for x in LOOKALIKES[c]] + [(" ", MARK)]
+    return [("", 0.0), (" ", GAP)] if spaced else [(" ", 0.0)]
+
+
+_OPTIONS = {spaced: {c: _option(c, spaced) for c in [*map(chr, range(128)), *LOOKALIKES]} for spaced in (False, True)}
+
+
 def options(chars: str, spaced: bool) -> list[list[tuple[str, float]]]:
     """The lattice: what each character may be read as, with its log-probability; '' drops it, ' ' ends a word."""
-    out = []
-    for c in chars:
-        if "a" <= c <= "z":
-            out.append([(c, 0.0)])
-        elif c in LOOKALIKES:
-            out.append([(x, DISGUISE) for x in LOOKALIKES[c]] + [(" ", MARK)])
-        elif spaced:
-            out.append([("", 0.0), (" ", GAP)])
-        else:
-            out.append([(" ", 0.0)])
-    return out
+    known = _OPTIONS[spaced]
+    return [known[c] if c in known else _option(c, spaced) for c in chars]
 
 
 def _path(trail: list[dict], state: int) -> tuple[int, list[str]]:
@@ -129,6 +132,18 @@ def decode(chars: str, model: array, spaced: bool = False) -> str:
     chars = SAME.sub(lambda m: m[1] * 16, chars)
     top = LETTERS ** (ORDER - 1)
     for choice in options(chars, spaced):
+        if len(best) == 1:
+            state = next(iter(best))
+            if trail:
+                done += _path(trail, state)[1]
+                trail, look = [], SETTLE
+            if len(choice) == 1 and choice[0][0]:  # one path, one way on: no score is needed
+                letter = choice[0][0]
+                d = ord(letter) - 96 if letter != " " else 0
+                if not d or d != state % LETTERS:
+                    done.append(letter)
+                    best = {(state * LETTERS + d) % top: 0.0}
+                    continue
         nxt: dict[int, float] = {}
         came: dict[int, tuple[int, str]] = {}
         for state, score in best.items():
@@ -183,10 +198,12 @@ class Restorer:
         self.cache: dict[str, tuple] = {}
 
     def chunk(self, chunk: str) -> tuple:
-        found = self.cache.get(chunk)
-        if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        core = chunk.strip(TRIM)
+        if core.isalpha() and not SUSPECT.search(core):  # a plain word and nothing else
+            words = [core]
+        else:
             words = WORDS.findall(chunk)
             for run in RUN.findall(chunk):
                 run = run.lstrip("(").rstrip("!(")
@@ -196,7 +213,8 @@ class Restorer:
                 run = run.lstrip("(").rstrip("!(")
                 if len(run) > 4:
                     words += decode(run, self.model, spaced=True).split()
-            found = self.cache[chunk] = tuple(self.use(dict.fromkeys(words)))
+            words = dict.fromkeys(words)
+        found = self.cache[chunk] = tuple(self.use(words))
         return found
 
     def spaced(self, text: str, singles: int) -> list:
@@ -207,8 +225,15 @@ class Restorer:
     def words(self, text: str) -> set:
         low = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()  # full-width letters and the like
         chunks = low.split()
-        found = {w for c in set(chunks) for w in self.chunk(c)}
-        return found.union(self.spaced(low, sum(len(c.strip(TRIM)) == 1 for c in chunks if len(c) < 4)))
+        found, known = set(), self.cache
+        for c in set(chunks):
+            made = known.get(c)
+            if made is None:
+                made = self.chunk(c)
+            if made:
+                found.update(made)
+        short = [c for c in chunks if len(c) < 4]
+        return found.union(self.spaced(low, sum(len(c.strip(TRIM)) == 1 for c in short)))
 
 
 @dataclass
@@ -216,11 +241,21 @@ class ToxicityModel:
     letters: np.ndarray
     weights: dict[str, float] = field(default_factory=dict)
     coef: np.ndarray = field(default_factory=lambda: np.array([-4.0, 1.0, 0.0, 0.0]))
+    heads: frozenset[str] = frozenset()
+
+    def weigh(self, weights: dict[str, float]) -> None:
+        """Sets the weights; heads are the beginnings that a word with a weight can have."""
+        self.weights, self.heads = weights, frozenset(f.rstrip("-")[: PREFIXES[0]] for f in weights)
 
     def rated(self, words) -> list[tuple[float, str]]:
         """The words that have a weight, each with that of its strongest feature."""
-        known = ((max((self.weights.get(f, 0.0) for f in features(w))), w) for w in words)
-        return [x for x in known if x[0] > 0]
+        out = []
+        for w in words:
+            if w[: PREFIXES[0]] in self.heads:
+                best = max(self.weights.get(f, 0.0) for f in features(w))
+                if best > 0:
+                    out.append((best, w))
+        return out
 
     def restorer(self) -> Restorer:
         return Restorer(self.letters, self.rated)
@@ -304,7 +339,7 @@ def train(
     odds = F.log(a / (toxic + 1.0 - a)) - F.log(b / (clean + 1.0 - b))
     rated = counts.filter(F.col("a") >= least_docs).select("w", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
     rated = rated.filter(F.col("z") >= least_z).orderBy(F.desc("z"), "w").limit(lexicon)
-    model.weights = {r["w"]: float(r["odds"]) for r in rated.collect()}
+    model.weigh({r["w"]: float(r["odds"]) for r in rated.collect()})
     seen = sample.select(F.col("y").cast("long").alias("y"), "t").mapInArrow(_evidence(model), "k long, e0 double, e1 double, e2 double").toPandas()
     model.coef = logistic(seen[["e0", "e1", "e2"]].to_numpy(), seen["k"].to_numpy().astype(float))
     return model
