@@ -27,9 +27,10 @@ MAX_OPEN = 2048
 NORMALIZERS = ("NFC", "Replace", "Lowercase")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHE_WORDS = 200_000
-#: Texts with any of these go through the tokenizer itself, as a whole.
-ODD_ASCII = re.compile(r"[\x1c-\x1f]")
-ODD = re.compile("[\x1c-\x1f\u0250-\U0010ffff\u00b2\u00b3\u00b9\u00bc-\u00be\u0130]")
+#: White space to Python alone: texts with any of these go through the tokenizer itself, as a whole.
+BREAKS = re.compile(r"[\x1c-\x1f]")
+#: Chunks with any of these go through the tokenizer itself.
+ODD = re.compile("[\u0250-\U0010ffff\u00b2\u00b3\u00b9\u00bc-\u00be\u0130]")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
@@ -63,8 +64,8 @@ class WordTokenizer:
     Holds for tokenizers whose normalizer only composes, folds white space and lower-cases,
     and whose pre-tokenizer splits letters, single digits and runs of other marks: no token
     then crosses white space. Other characters than those of ODD are their own composed
-    form, so only lower-casing is left to do. A file of another shape, or a text with one
-    of its added tokens, goes through the tokenizer itself.
+    form, so only lower-casing is left to do; a chunk with one of ODD goes through the
+    tokenizer itself, and so does a text of a file of another shape, or with an added token.
     """
 
     def __init__(self, path: str):
@@ -88,18 +89,27 @@ class WordTokenizer:
             ids = self.words[word] = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
         return ids
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def _learn(self, chunks: set[str]) -> None:
         """The ids of chunks not seen before; full caches start anew."""
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         for c in chunks:
-            self.chunks[c] = self._word(c) if c.isalpha() else b"".join(map(self._word, PIECES.findall(c)))
+            if ODD.search(c):
+                self.chunks[c] = self._whole(c)
+            else:
+                self.chunks[c] = self._word(c) if c.isalpha() else b"".join(map(self._word, PIECES.findall(c)))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
-        if not self.short_way or (ODD_ASCII if text.isascii() else ODD).search(text) or any(a in text for a in self.added):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        chunks = text.lower().split()
+        if not self.short_way or BREAKS.search(text) or any(a in text for a in self.added):
+            return self._whole(text)
+        if text.isascii() or not ODD.search(text):
+            chunks = text.lower().split()
+        else:  # chunks with odd characters go through the tokenizer, as they are written
+            chunks = [c if ODD.search(c) else c.lower() for c in text.split()]
         out = []
         for i in range(0, len(chunks), CACHE_WORDS // 4):
             part = chunks[i : i + CACHE_WORDS // 4]

@@ -32,6 +32,8 @@ def test_ids_equal_the_tokenizers():
     texts = [p + chr(c) + p for c in range(0x250) for p in ("", "a", " ")]
     texts += ["".join(chr(rng.randrange(0, rng.choice([0x80, 0x250, 0x3000]))) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
     texts += ["".join(rng.choice(odd) for _ in range(rng.randint(1, 8))) for _ in range(5_000)]
+    wide = ["e\u0301", "\u0301a", "ΑΣ", "İ", "ß", "ﬁ", "Ａ", "각", " ", "\u2003", "\u3000", "\u00a0", "…", "“Hi”", "１２", "😀", "\u200d", "\ufeff", "D’ll", "'s", "B1", "\n", "日本語", "Å"]
+    texts += ["".join(rng.choice(wide) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
     for t, e in zip(texts, tok.whole.encode_batch(texts, add_special_tokens=False)):
         assert tok.encode(t) == np.array(e.ids, dtype="<u4").tobytes(), repr(t)
 
