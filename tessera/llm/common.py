@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import written as stash  # noqa: F401  a table in the folder that all executors see
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a temporary folder is made, once per session.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    own = spark.conf.get("tessera.shared.dir", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("tessera.shared.dir", own)
-    return own
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    Cuts the lineage; the files outlive any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

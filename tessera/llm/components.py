@@ -1,11 +1,10 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import stash
+from ..operators.graph import connected_components
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,30 +13,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Only nodes that have an edge are returned. Neighbour minima are aggregates with a
     map-side part, and edges meet them in plain equi-joins, so a hub is never gathered.
     """
-    cur = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = _digest(cur)
-    for _ in range(max_rounds):
-        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        cur = stash(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .filter("u <> v")
-            .distinct(),
-            "edges",
-        )
-        now = _digest(cur)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v"), F.col("v")).distinct())
-
-
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    return connected_components(edges, "a", "b", max_rounds).withColumnRenamed("component", "root")
