@@ -13,9 +13,10 @@ with a smaller identifier, or before in the same one.
    the anchor, its bytes once a task. Occurrences of the same context repeat the first one
    of them in full. An anchor with very many occurrences is dealt over several shards by
    document and place, whatever its contexts.
-3. In a shard the different contexts are sorted by their suffixes (Larsson-Sadakane
-   refinement with ranks that double in depth), neighbours' common prefixes follow by
-   Kasai's rule, and runs of `length` or more are equal windows: all but the earliest go.
+3. In a shard the different contexts that agree on enough bytes beside the anchor to share a
+   window are sorted by their suffixes (Larsson-Sadakane refinement with ranks that double in
+   depth), neighbours' common prefixes follow by Kasai's rule, and runs of `length` or more
+   are equal windows: all but the earliest go.
    Windows that are first in their shard of a dealt-out anchor are merged across shards:
    each shard brings a sorted run of window digests (128 bits), and its windows are found
    among those merged before by binary search.
@@ -161,6 +162,33 @@ def repeated_windows(contexts: list[bytes], rank_of: np.ndarray, first: np.ndarr
     return [flags[s : s + n - length + 1] for s, n in zip(starts, sizes)]
 
 
+def with_partners(contexts: list[bytes], h: np.ndarray, group: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which contexts may share a window with another one of their group.
+
+    A window holds the anchor and, on one side of it at least, half of its other bytes. So
+    contexts of one anchor that share a window agree on that many bytes before the anchor or
+    after it; a context that agrees with no other on either side needs no comparison.
+    """
+    half = (length - gram + 1) // 2
+    sizes = np.array([len(c) for c in contexts])
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    text = np.frombuffer(b"".join(contexts), np.uint8)
+    g = gram_hashes(text, gram)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(g)]
+    hit = np.flatnonzero(g == h[owner])
+    hit = hit[hit + gram <= starts[owner[hit]] + sizes[owner[hit]]]
+    at = np.full(len(sizes), -1)
+    at[owner[hit][::-1]] = (hit - starts[owner[hit]])[::-1]  # the first of a context's
+    keys, seen = [], {}
+    for c, p, who in zip(contexts, at.tolist(), group.tolist()):
+        left = (who, 0, c[p - half : p]) if p >= half else None
+        right = (who, 1, c[p + gram : p + gram + half]) if p + gram + half <= len(c) else None
+        keys.append((left, right))
+        seen[left] = seen.get(left, 0) + 1
+        seen[right] = seen.get(right, 0) + 1
+    return np.array([p < 0 or (a is not None and seen[a] > 1) or (b is not None and seen[b] > 1) for (a, b), p in zip(keys, at.tolist())], bool)
+
+
 def _text_rows(batch):
     for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
         raw = t.as_buffer().to_pybytes() if t.is_valid else b""
@@ -215,6 +243,7 @@ OCCURRENCE = "h long, salt int, c long, k long, th long, lo long, n int, ctx bin
 
 def _occurrences(length: int, gram: int, words, hot: dict[int, int]):
     """words: the broadcast Bloom filter, or None where each row brings the list of its repeated anchors."""
+    digest = xxhash.xxh3_64_intdigest
 
     def by_filter(h):
         bits = words.value
@@ -222,15 +251,20 @@ def _occurrences(length: int, gram: int, words, hot: dict[int, int]):
         a, z = h & size, (h >> np.uint64(32)) & size
         return np.flatnonzero((bits[a >> six] >> (a & low) & one) & (bits[z >> six] >> (z & low) & one))
 
+    names = [x.split()[0] for x in OCCURRENCE.split(", ")]
+    kinds = (np.int64, np.int32, np.int64, np.int64, np.int64, np.int64, np.int32)
+
     def run(batches):
         seen: set = set()
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list[np.ndarray]] = [[] for _ in kinds]
+        texts: list = []
 
         def batch():
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
-            for c in cols:
+            arrays = [pa.array(np.concatenate(c) if c else np.empty(0, t), pa.from_numpy_dtype(t)) for c, t in zip(cols, kinds)]
+            arrays.append(pa.array(texts, pa.binary()))
+            for c in (*cols, texts):
                 c.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in OCCURRENCE.split(", ")])
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for b in batches:
             for i, ((k, raw), th) in enumerate(zip(_text_rows(b), b.column(2).to_pylist())):
@@ -238,21 +272,27 @@ def _occurrences(length: int, gram: int, words, hot: dict[int, int]):
                     continue
                 h, lo, hi = anchors(raw, length, gram)
                 hit = by_filter(h) if words else np.flatnonzero(np.isin(h.view(np.int64), b.column(3)[i].values.to_numpy()))
-                for x, s, e in zip(h[hit].view(np.int64).tolist(), lo[hit].tolist(), hi[hit].tolist()):
-                    ctx = raw[s : e + length]
-                    c = xxhash.xxh3_64_intdigest(ctx) - (1 << 63)
-                    salt = (31 * k + s) % hot[x] if x in hot else 0
-                    mark = (c, salt) if salt else c
+                if not len(hit):
+                    continue
+                x, lo, hi = h[hit].view(np.int64), lo[hit], hi[hit]
+                salt = np.array([(31 * k + s) % hot.get(a, 1) for a, s in zip(x.tolist(), lo.tolist())], np.int32) if hot else np.zeros(len(x), np.int32)
+                digests = []
+                for s, e, deal in zip(lo.tolist(), (hi + length).tolist(), salt.tolist()):
+                    ctx = raw[s:e]
+                    c = digest(ctx)
+                    digests.append(c)
+                    mark = (c, deal) if deal else c
                     if mark in seen:
-                        ctx = None
+                        texts.append(None)
                     else:
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(mark)
-                    row = (x, salt, c, k, th, s, e - s + 1, ctx)
-                    for col, v in zip(cols, row):
-                        col.append(v)
-                if len(cols[0]) > 20_000:
+                        texts.append(ctx)
+                one = (x, salt, np.array(digests, np.uint64).view(np.int64), np.full(len(x), k), np.full(len(x), th), lo, (hi - lo + 1).astype(np.int32))
+                for col, v in zip(cols, one):
+                    col.append(v)
+                if len(texts) > 20_000:
                     yield batch()
         yield batch()
 
@@ -263,7 +303,7 @@ RANGES = "k long, th long, start long, stop long, digest binary, shard int"
 SLICES = 64  # a merging task takes its digests in so many slices, one at a time
 
 
-def _shard(length: int, hot: dict[int, int]):
+def _shard(length: int, gram: int, hot: dict[int, int]):
     """Rows sorted by (h, salt, c, k, th, lo) -> removed ranges; with a digest, windows to be merged across shards."""
 
     def run(batches):
@@ -305,12 +345,16 @@ def _shard(length: int, hot: dict[int, int]):
         for s, e in zip(cuts, cuts[1:]):
             part = pick[s:e]
             rows = firsts[part]
-            raw = [ctx[int(j)].as_buffer().to_pybytes() for j in bytes_at[part]]
+            raw = ctx.take(pa.array(bytes_at[part])).to_pylist()
             ids = np.lexsort((th[rows], k[rows]))
             rank = np.empty(len(rows), np.int64)
             ids_new = np.r_[True, (k[rows][ids][1:] != k[rows][ids][:-1]) | (th[rows][ids][1:] != th[rows][ids][:-1])]
             rank[ids] = np.cumsum(ids_new)
-            flags = repeated_windows(raw, rank, lo[rows], length)
+            flags = [np.zeros(len(c) - length + 1, bool) for c in raw]
+            close = np.flatnonzero(with_partners(raw, h[rows].view(np.uint64), group[part], length, gram))
+            if len(close):
+                for i, f in zip(close.tolist(), repeated_windows([raw[i] for i in close], rank[close], lo[rows][close], length)):
+                    flags[i] = f
             found = [[], [], [], []]
             wait = [[], [], [], [], [], []]
             for r, f, text, is_dealt in zip(rows.tolist(), flags, raw, dealt[part]):
@@ -412,8 +456,8 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    hot_rows: an anchor with more occurrences is dealt over several shards; by default a
-    quarter of what a shuffle partition has on average. bloom_bits: the filter's size, a
+    hot_rows: an anchor with more occurrences is dealt over several shards; by default
+    half of what a shuffle partition has on average. bloom_bits: the filter's size, a
     power of two; it is used for up to an eighth as many repeated anchors.
 
     Null text counts as empty; a null identifier comes before all others. Rows with one
@@ -428,8 +472,8 @@ def remove_repeats(
     counts = own.mapInArrow(_count(length, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     repeated = stash(counts.filter("n > 1"), "anchors")
     total, distinct = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    limit = hot_rows or max(1_000, total // (4 * parts))
-    # No more than total / limit anchors can have so many occurrences: four times the partitions at most.
+    limit = hot_rows or max(1_000, total // (2 * parts))
+    # No more than total / limit anchors can have so many occurrences: twice the partitions at most.
     hot = {r["h"]: int(-(-r["n"] // limit)) for r in repeated.filter(F.col("n") > limit).collect()}
     if distinct <= bloom_bits // 8:
         words = spark.sparkContext.broadcast(bloom(repeated, bloom_bits))
@@ -442,7 +486,7 @@ def remove_repeats(
     ranges = (
         found.repartition(parts, "h", "salt")
         .sortWithinPartitions("h", "salt", "c", "k", "th", "lo")
-        .mapInArrow(_shard(length, hot), RANGES)
+        .mapInArrow(_shard(length, gram, hot), RANGES)
     )
     if hot:
         ranges = stash(ranges, "ranges")
