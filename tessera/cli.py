@@ -18,8 +18,11 @@ from .sources import files
 from .sources.store import Store, by_key
 
 
+STATES, SORTS = ("pending", "approved", "rejected", "merged_into_entity"), ("confidence", "mentions", "name")
+
+
 def parse_filter(words: list[str]) -> dict:
-    """`key=value` and `confidence>=x` words of an interactive filter; unknown keys raise."""
+    """`key=value` and `confidence>=x` words of an interactive filter; unknown keys and values raise."""
     out: dict = {"text": []}
     for w in words:
         for op in (">=", "<=", "==", ">", "<", "="):
@@ -28,6 +31,11 @@ def parse_filter(words: list[str]) -> dict:
                 if key not in ("type", "status", "confidence", "sort"):
                     raise ValueError(f"unknown filter {key}")
                 out[key] = (op, float(value)) if key == "confidence" else value
+                known = {"status": STATES, "sort": SORTS}.get(key)
+                if known and value not in known:
+                    raise ValueError(f"{key} is one of {', '.join(known)}")
+                if key == "confidence" and not 0 <= out[key][1] <= 1:
+                    raise ValueError("confidence lies between 0 and 1")
                 break
         else:
             out["text"].append(w)

@@ -245,7 +245,10 @@ def approve(candidates: DataFrame) -> DataFrame:
 
 
 def merge_into_entity(entities: DataFrame, candidates: DataFrame) -> DataFrame:
-    """candidates (with entity_id) folded into their entities: mentions added, the highest confidence, lists and aliases united."""
+    """candidates (with entity_id) folded into their entities: mentions added, the highest confidence, lists and aliases united.
+
+    Entities without a candidate stay; candidates of no entity that is there are left out.
+    """
     folded = candidates.groupBy("entity_id").agg(
         F.sum("mention_count").alias("m"), F.max("confidence_score").alias("c"), F.flatten(F.collect_list(F.concat(F.array("canonical_name"), _list("aliases")))).alias("al"),
         F.flatten(F.collect_list(_list("source_documents"))).alias("d"), F.flatten(F.collect_list(_list("chunk_ids"))).alias("ch"), F.min_by("description", "candidate_key").alias("de"), F.collect_set("candidate_key").alias("ks"),
@@ -265,8 +268,11 @@ def normalization_entries(entities: DataFrame, normalized=F.lower) -> DataFrame:
     return said.groupBy(normalized(F.trim("raw")).alias("normalized_form"), F.col("id").alias("canonical_id"), "canonical_name", "entity_type").agg(F.array_sort(F.collect_set("raw")).alias("raw_variants"))
 
 
-def duplicates(candidates: DataFrame, top: int = 5, least: float = 0.7) -> DataFrame:
-    """Likely duplicates of each candidate among all others, of any type: a shared alias 1, alike names, a name in an alias .9."""
+def duplicates(candidates: DataFrame, top: int = 5, least: float = 0.7, similar: DataFrame | None = None) -> DataFrame:
+    """Likely duplicates of each candidate among all others, of any type: a shared alias 1, alike names, a name in an alias .9.
+
+    similar (left, right, similarity) adds pairs whose embeddings are alike, where a caller has them.
+    """
     c = candidates.select("candidate_key", schemas.approved_key(F.col("canonical_name")).alias("n"), F.transform(_list("aliases"), lambda a: F.lower(F.trim(a))).alias("al"))
     alias = c.select("candidate_key", F.explode("al").alias("a"))
     pair = lambda a, b, on: a.join(b, on).filter("left <> right")
@@ -279,6 +285,8 @@ def duplicates(candidates: DataFrame, top: int = 5, least: float = 0.7) -> DataF
     close = similar_names(named.select(F.col("a").alias("n")), least)
     close = close.join(named.select(F.col("candidate_key").alias("left"), F.col("a").alias("ln")), "ln").join(first.select(F.col("candidate_key").alias("right"), F.col("a").alias("rn")), "rn")
     close = close.filter("left <> right").select("left", "right", "score")
+    if similar is not None:
+        close = close.union(similar.select("left", "right", "similarity")).union(similar.select("right", "left", "similarity"))
     best = shared.union(inside).union(close).groupBy("left", "right").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(W.partitionBy("left").orderBy(F.desc("score"), "right"))).filter(F.col("rank") <= top)
 

@@ -42,14 +42,20 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
 
 
 def fuzzy_suggestions(candidates: DataFrame, threshold: float = 0.9, prefix: int = 4, most: int | None = 100) -> DataFrame:
-    """Pairs of one type whose names start alike and score over the adaptive threshold."""
-    c = candidates.select("candidate_key", "candidate_type", F.lower(F.trim("canonical_name")).alias("name"), F.substring(F.lower(F.trim("canonical_name")), 1, prefix).alias("block"))
-    a = c.select(F.col("candidate_key").alias("left"), "candidate_type", "block", F.col("name").alias("ln"))
-    b = c.select(F.col("candidate_key").alias("right"), "candidate_type", "block", F.col("name").alias("rn"))
-    pairs = a.join(b, ["candidate_type", "block"]).filter("left < right")
+    """Pairs of one type whose names start alike and score over the adaptive threshold.
+
+    Distinct names are compared, each two once, and only pairs that pass meet the candidates
+    that have them; a frequent type and beginning is a skewed key, which the join splits.
+    """
+    c = candidates.select("candidate_key", "candidate_type", F.lower(F.trim("canonical_name")).alias("name")).withColumn("block", F.substring("name", 1, prefix))
+    names = c.select("candidate_type", "block", "name").distinct()
+    a, b = names.withColumnRenamed("name", "ln"), names.withColumnRenamed("name", "rn")
+    pairs = a.join(b, ["candidate_type", "block"]).filter("ln <= rn").drop("block")
     pairs = pairs.withColumn("score", S.fuzzy_weighted("ln", "rn")).withColumn("threshold", S.fuzzy_threshold(F.col("ln"), F.col("rn"), threshold))
-    out = pairs.filter("score >= threshold").withColumn("confidence", S.fuzzy_confidence(F.col("score"), F.col("threshold"), F.col("ln"), F.col("rn")))
-    out = out.select("left", "right", "candidate_type", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+    pairs = pairs.filter("score >= threshold").withColumn("confidence", S.fuzzy_confidence(F.col("score"), F.col("threshold"), F.col("ln"), F.col("rn")))
+    side = lambda key, name: c.select("candidate_type", F.col("candidate_key").alias(key), F.col("name").alias(name))
+    met = pairs.join(side("k1", "ln"), ["candidate_type", "ln"]).join(side("k2", "rn"), ["candidate_type", "rn"]).filter("ln < rn or k1 < k2")
+    out = met.filter("k1 <> k2").select(F.least("k1", "k2").alias("left"), F.greatest("k1", "k2").alias("right"), "candidate_type", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
     return out if most is None else out.orderBy(F.desc("confidence"), "left", "right").limit(most)
 
 

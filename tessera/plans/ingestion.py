@@ -113,12 +113,17 @@ def fold(store: Store, docs: DataFrame, force: bool = False, topics: list[str] |
     new = G.written(U.to_ingest(docs.filter("error is null"), catalog, force), "new")
     stale = U.outdated(new, catalog).select(F.col("id").alias("document_id"))
     redone = new.select("document_id").union(stale).distinct()
-    t = run_stages({"documents": new}, stages, skip)
-    now = F.current_timestamp()
     cols = [c.split()[0] for c in schemas.SCHEMAS["documents"].split(", ")]
+    known = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(schemas.struct("documents")[c].dataType).alias(c) for c in cols])
+    try:
+        t = run_stages({"documents": new}, stages, skip)
+    except Exception as problem:  # no table has been written yet, so there is nothing to take back
+        lost = known(new.withColumns({"ingestion_status": F.lit("failed"), "ingestion_error": F.lit(str(problem)[:1000])}))
+        store.write("documents", K.upsert_rows(store.read("documents").select(*cols), lost, "document_id"))
+        raise
+    now = F.current_timestamp()
     rows = new.withColumns({"ingestion_status": F.lit("completed"), "last_ingested_at": now})
     failed = docs.filter("error is not null").withColumns({"ingestion_status": F.lit("failed"), "ingestion_error": F.col("error")})
-    known = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(schemas.struct("documents")[c].dataType).alias(c) for c in cols])
     counts = {"read": docs.count(), "ingested": new.count(), "failed": failed.count()}
     base = K.delete_keys(store.read("documents"), stale, "document_id").select(*cols)
     store.write("documents", K.upsert_rows(base, known(rows).unionByName(known(failed)), "document_id"))

@@ -215,3 +215,24 @@ def test_merging_to_a_fixpoint(spark):
     c = spark.createDataFrame(rows, "candidate_key string, canonical_name string, candidate_type string, aliases array<string>, description string, confidence_score double, status string, mention_count long, source_documents array<string>, chunk_ids array<string>, conflicting_types array<string>")
     out = discovery_run.deduplicate(c, 0.99)
     assert sorted((r["canonical_name"].lower(), r["mention_count"]) for r in out.collect()) == [("antenna", 1), ("main bus", 3), ("side bus", 1)]
+
+
+def test_a_failed_stage_leaves_the_status_and_can_be_run_again(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.md").write_text(ONE)
+    store = Store(spark, str(tmp_path / "store"))
+    whole = list(ingestion.STAGES)
+
+    def broken(t):
+        raise RuntimeError("stage is broken")
+
+    ingestion.STAGES[1] = ("chunking", broken)
+    try:
+        with pytest.raises(RuntimeError, match="broken"):
+            ingestion.ingest(spark, str(src), store)
+    finally:
+        ingestion.STAGES[:] = whole
+    row = store.read("documents").first()
+    assert (row["ingestion_status"], row["ingestion_error"]) == ("failed", "stage is broken") and not store.exists("chunks")
+    assert ingestion.ingest(spark, str(src), store)["ingested"] == 1 and store.read("documents").first()["ingestion_status"] == "completed"
