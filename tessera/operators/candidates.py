@@ -41,17 +41,15 @@ def upsert_candidates(existing: DataFrame | None, new: DataFrame, key: str = "ca
         rows = existing.withColumn("_seq", F.lit(0)).unionByName(rows, allowMissingColumns=True)
     rows = rows.withColumn("_seq", F.struct("_seq", F.coalesce("first_seen", F.lit(0).cast("timestamp")), F.xxhash64(*sorted(new.columns))))
     special = {"mention_count": F.sum("mention_count"), "confidence_score": F.max("confidence_score"), "first_seen": F.min("first_seen"), "last_seen": F.max("last_seen")}
-    aggs = []
-    for c in rows.columns:
-        if c in (key, "_seq"):
-            continue
-        if c not in UNION_LISTS:
-            aggs.append((special[c] if c in special else F.min_by(c, "_seq")).alias(c))
-    lists = [c for c in rows.columns if c in UNION_LISTS]
-    out = rows.groupBy(key).agg(*aggs)
+    cols = [c for c in rows.columns if c != "_seq"]
+    lists = [c for c in cols if c in UNION_LISTS]
+    sums = [c for c in cols if c in special]
+    firsts = [c for c in cols if c not in (key, *lists, *sums)]
+    aggs = [special[c].alias(c) for c in sums] + ([F.min_by(F.struct(*firsts), "_seq").alias("_first")] if firsts else [])
+    out = rows.groupBy(key).agg(*aggs) if aggs else rows.select(key).distinct()
     if lists:
         out = out.join(merged_lists(rows, key, lists), F.col(key).eqNullSafe(F.col("_key")), "left")
-    return out.select(*[F.coalesce(c, no_strings()).alias(c) if c in lists else F.col(c) for c in rows.columns if c != "_seq"])
+    return out.select(*[F.coalesce(c, no_strings()).alias(c) if c in lists else F.col("_first")[c].alias(c) if c in firsts else F.col(c) for c in cols])
 
 
 def upsert_rows(existing: DataFrame | None, new: DataFrame, key: str, seq: str | None = None) -> DataFrame:
