@@ -6,7 +6,9 @@ whole header) and, if its name is that of a licence file, as a whole. Document f
 of the templates' words are counted over all texts; a word no template has weighs as one
 that was never seen. A part can reach the threshold with a template only if it has one
 of the template's prefix words: the heaviest ones, until the rest of the vector is shorter
-than the threshold. Only such texts are split into parts, and only such parts joined.
+than the threshold. Only such texts are split into parts. Parts of equal words are scored
+once, whatever their number, and only those whose templates' words make up the threshold's
+share of their length meet the templates.
 
 A licence file (by its name) speaks for its directory. A file without a licence of its own
 inherits from the nearest directory above that has one. That is settled once per directory,
@@ -89,20 +91,29 @@ def find_licenses(
     small = F.broadcast if few else (lambda df: df)
     base = F.regexp_extract("path", r"([^/]*)$", 1)
     some = own.filter(F.arrays_overlap(F.split(F.lower("t"), NOT_WORD), prefix))
-    units = some.select("path", "th", F.posexplode(parts(F.col("t"), F.coalesce(base.rlike(LICENSE_NAME), F.lit(False)))).alias("unit", "text"))
-    units = units.select("path", "th", "unit", _words(F.col("text")).alias("ws")).filter(F.arrays_overlap("ws", prefix))
-    key = ["path", "th", "unit"]
-    words = units.select(*key, F.explode("ws").alias("token")).groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"))
+    units = some.select("path", "th", F.explode(parts(F.col("t"), F.coalesce(base.rlike(LICENSE_NAME), F.lit(False)))).alias("text"))
+    units = units.select("path", "th", _words(F.col("text")).alias("ws")).filter(F.arrays_overlap("ws", prefix))
+    units = stash(units.withColumn("part", F.unhex(F.sha2(F.array_join("ws", " "), 256))), "license-parts")
+    # '' counts the copies of a part; its words are counted over all of them, and divided by them
+    words = units.select("part", F.explode(F.concat("ws", F.array(F.lit("")))).alias("token")).groupBy("part", "token").agg(F.count(F.lit(1)).alias("n"))
     weights = rated.select("token", "idf").distinct()
     words = words.join(small(weights), "token", "left").crossJoin(F.broadcast(unseen))
-    words = words.withColumn("x", F.col("n") * F.coalesce("idf", "unseen"))
-    length = words.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    dots = words.join(small(rated.select("name", "v", "token", "w")), "token").groupBy(*key, "name", "v").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    d, e = dots.alias("d"), length.alias("e")
-    cosine = d.join(e, [F.expr(f"d.{c} <=> e.{c}") for c in key]).select("d.path", "d.th", "d.name", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
-    best = cosine.filter(F.col("score") >= threshold).groupBy("path", "th").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b")
+    words = words.withColumn("x", F.when(F.col("token") != "", F.col("n") * F.coalesce("idf", "unseen")))
+    squares = lambda x: F.coalesce(F.sum(x * x), F.lit(0.0))
+    known = F.when(F.col("idf").isNotNull(), F.col("x"))
+    each = words.groupBy("part").agg(
+        F.max(F.when(F.col("token") == "", F.col("n"))).alias("copies"),
+        squares(F.col("x")).alias("all"),
+        squares(known).alias("known"),
+        F.collect_list(F.when(known.isNotNull(), F.struct("token", "x"))).alias("xs"),
     )
+    near = each.filter(F.col("known") >= max(threshold - 1e-6, 0.0) ** 2 * F.col("all"))
+    near = near.select("part", "copies", (F.sqrt("all") / F.col("copies")).alias("length"), F.explode("xs").alias("e"))
+    near = near.select("part", "length", "e.token", (F.col("e.x") / F.col("copies")).alias("x"))
+    dots = near.join(small(rated.select("name", "v", "token", "w")), "token").groupBy("part", "name", "v").agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.max("length").alias("length"))
+    cosine = dots.select("part", "name", F.round(F.col("dot") / F.col("length"), 6).alias("score")).filter(F.col("score") >= threshold)
+    first = cosine.groupBy("part").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
+    best = units.select("path", "th", "part").join(first, "part").groupBy("path", "th").agg(F.min("b").alias("b"))
     best = best.select(F.col("path").alias("p2"), F.col("th").alias("th2"), F.col("b.name").alias("license"), (-F.col("b.s")).alias("score"))
     mine = own.select("path", "th").join(best, F.col("path").eqNullSafe(F.col("p2")) & (F.col("th") == F.col("th2")), "left")
     mine = stash(mine.select("path", directory(F.col("path")).alias("dir"), "license", "score"), "license-own")

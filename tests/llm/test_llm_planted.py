@@ -295,6 +295,38 @@ def test_licence_texts_blocks_and_files(spark):
     }
 
 
+def joined_rows(df):
+    """Rows that each join of df's plan makes."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        count = node.metrics().get("numOutputRows")
+        if "Join" in node.nodeName() and count.isDefined():
+            found.append(count.get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_copies_of_a_licence_and_lines_of_its_words_stay_few_rows(spark, monkeypatch):
+    mit = TEMPLATES["MIT"][2]
+    twice = "Released, released under the MIT MIT License."  # words that repeat in a part
+    rows = [(f"a/{i}.c", f"{mit}\n\n{twice}") for i in range(300)] + [(f"b/{i}.c", f"software is provided to deal in copies x{i} y{i} z{i}") for i in range(300)] + [("c/one.c", twice), ("c/two.c", f"{twice}\n{twice}\n")]
+    files, own, real = spark.createDataFrame(rows, "path string, text string"), [], licenses.stash
+    monkeypatch.setattr(licenses, "stash", lambda df, name: (own.append(df) if name == "license-own" else None, real(df, name))[1])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["path"]: r for r in licenses.find_licenses(files).collect()}
+        made = joined_rows(own[0])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert {(r["license"], r["score"]) for p, r in got.items() if p[0] == "a"} == {("MIT", 1.0)}
+    assert {r["origin"] for p, r in got.items() if p[0] == "b"} == {"none"}
+    assert (got["c/one.c"]["license"], got["c/one.c"]["score"]) == (got["c/two.c"]["license"], got["c/two.c"]["score"]) and got["c/one.c"]["license"] == "MIT"
+    assert made and max(made) < 10 * len(rows), made
+
+
 def test_long_repeats(spark):
     rng = random.Random(3)
     a = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
